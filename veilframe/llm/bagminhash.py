@@ -11,14 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialize
 from .textkit import Texts, chunks, counted, mix, shingles
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
-#: Distinct texts to verify that may be broadcast as ids (24 bytes each); beyond it the join is shuffled.
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
+#: Characters and texts of a block of a candidate cluster, at most; two blocks meet in one task.
+BLOCK_CHARS, BLOCK_TEXTS = 3_000_000, 1000
+#: Distinct texts to verify that may be broadcast as ids (about 70 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,24 +100,66 @@ def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = b["text"].tolist()
         for start, held in chunks(texts):
             part = b.iloc[start : start + len(held)]
-            yield pd.DataFrame({"rid": part["rid"], "doc_id": part["doc_id"], "digest": part["digest"], "bands": list(text_bands(held)), "has_words": [bool(x.strip(" \t\n\x0b\x0c\r")) for x in held]})
-
-
-def _verified(threshold: float, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x, y = b["text_a"].tolist(), b["text_b"].tolist()
-            at = 0
-            while at < len(b):
-                end, room = at, 0
-                while end < len(b) and (end == at or room + len(x[end]) + len(y[end]) <= 1 << 20):
-                    room += len(x[end]) + len(y[end])
-                    end += 1
-                sim = multiset_jaccard(x[at:end], y[at:end], k)
-                part = b.iloc[at:end]
-                keep = sim >= threshold
-                yield pd.DataFrame({"a": part["a"][keep], "b": part["b"][keep], "similarity": sim[keep]})
-                at = end
+            yield pd.DataFrame({"rid": part["rid"], "doc_id": part["doc_id"], "digest": part["digest"], "bands": list(text_bands(held)), "has_words": [bool(x.strip(" \t\n\x0b\x0c\r")) for x in held], "size": list(map(len, held))})
+
+
+def links_within(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Whether each two of n multisets (document, element, count) overlap by the threshold, exactly.
+
+    Counts are written out one by one, which makes the minimum of two counts a product of zeros and ones; elements of one document
+    only can add to no overlap. The overlaps are then sums of matrix products over runs of elements.
+    """
+    total = np.bincount(doc, count, minlength=n)
+    _, inverse, many = np.unique(h, return_inverse=True, return_counts=True)
+    ok = many[inverse] > 1
+    doc, h, count = doc[ok], inverse[ok], count[ok]
+    copy = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    doc, h = np.repeat(doc, count), np.repeat(h, count)
+    column = np.unique(mix(h.astype(np.uint64)) + copy.astype(np.uint64) * _STEP, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    width = max(1, 8_000_000 // n)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [first, first + width])
+        m = np.zeros((n, width), np.float32)
+        m[doc[lo:hi], column[lo:hi] - first] = 1
+        both += m @ m.T
+    both = both.astype(np.float64)
+    return both >= threshold * (total[:, None] + total[None, :] - both) - 1e-9
+
+
+def classes_of(linked: np.ndarray) -> np.ndarray:
+    """The first member of each one's class, from a symmetric matrix of links."""
+    label = np.arange(len(linked))
+    while True:
+        low = np.minimum(np.where(linked, label[None, :], len(linked)).min(1), label)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _verify(threshold: float, k: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cluster", "node"], kind="stable").reset_index(drop=True)
+        a, b = [], []
+        elements: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for start, held in chunks(pdf["text"].tolist()):
+            d, h, c = counted(*shingles(Texts(held), k))
+            elements.append((d + start, h, c))
+        doc, h, c = (np.concatenate(x) for x in zip(*elements))
+        node = pdf["node"].to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(pdf["cluster"].to_numpy()) != 0, [True]]))
+        edge = np.searchsorted(doc, cut)
+        for i in range(len(cut) - 1):
+            lo, hi, n = edge[i], edge[i + 1], cut[i + 1] - cut[i]
+            if n > 1:
+                label = classes_of(links_within(doc[lo:hi] - cut[i], h[lo:hi], c[lo:hi], n, threshold))
+                at = np.flatnonzero(label != np.arange(n))
+                a.append(node[cut[i] + at])
+                b.append(node[cut[i] + label[at]])
+        return pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
 
     return run
 
@@ -123,59 +167,47 @@ def _verified(threshold: float, k: int):
 def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """(rid, doc_id, digest, component_id, n_copies, kept) with one row for each input row.
 
-    Exact copies collapse first. Within a band bucket the documents of lowest rank are compared with all of the bucket
-    that are still in another component; links join components, and buckets that still hold several components are
-    taken up again with four times as many leaders, until no pair of a bucket is left untested. So a bucket of copies costs
-    its length, not its square, and no candidate is dropped.
+    Exact copies collapse first. Texts that share a band bucket, directly or through others, are a candidate cluster; all its texts
+    are compared exactly, in pairs of blocks of bounded size, each pair of blocks one task, which returns a star of each class it
+    finds and never a pair. The stars' components are the classes. So no candidate is dropped and a bucket's rows are only as many as its
+    texts.
     """
     spark = docs.sparkSession
     src = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     src = src.withColumn("digest", F.md5(F.col("text").cast("binary")))
     rows = src.withColumn("rid", F.monotonically_increasing_id())
-    seen = materialize(rows.select("rid", "doc_id", "digest", "text").mapInPandas(_band_rows, "rid long, doc_id long, digest string, bands array<long>, has_words boolean"), "bands")
+    seen = materialize(rows.select("rid", "doc_id", "digest", "text").mapInPandas(_band_rows, "rid long, doc_id long, digest string, bands array<long>, has_words boolean, size long"), "bands")
     nodes = materialize(seen.where("has_words").groupBy("digest").agg(F.min("rid").alias("node")), "nodes")
     reps = seen.where("has_words").join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
     band = reps.select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
     shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     bucket = materialize(band.join(shared, "key"), "buckets")
-    links, texts = _links(spark, src, seen, bucket, threshold, k)
-    component = connected_components(links.select("a", "b"), "classes")
+    least = bucket.groupBy("key").agg(F.min("node").alias("a"))
+    cluster = connected_components(bucket.join(least, "key").select("a", F.col("node").alias("b")).distinct(), "clusters").withColumnRenamed("component", "cluster")
+    component = connected_components(_links(src, seen, cluster, threshold, k), "classes")
     of = nodes.join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     member = seen.select("rid", "doc_id", "digest", "has_words").join(of, "digest", "left").withColumn("component", F.coalesce("component", F.col("rid")))
     first = member.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min_by("rid", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("keep"), F.count(F.lit(1)).alias("n_copies"))
     out = member.join(first, "component").select("rid", "doc_id", "digest", "component_id", "n_copies", (F.col("rid") == F.col("keep")).alias("kept"))
-    for x in (texts, bucket):
-        discard(x)
+    discard(bucket)
     return out
 
 
-def _links(spark, src: DataFrame, seen: DataFrame, bucket: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    involved = materialize(bucket.select("node").distinct().join(seen.select(F.col("rid").alias("node"), "doc_id", "digest"), "node"), "involved")
-    n = involved.count()
-    side = F.broadcast(involved) if n <= BROADCAST_IDS else involved
-    have = src.join(side.withColumnRenamed("doc_id", "i").withColumnRenamed("digest", "d"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))).select("node", "text")
-    texts = materialize(have.dropDuplicates(["node"]), "texts")
-    links, tried, leaders = None, None, 1
-    ranked = materialize(bucket.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))), "ranked")
-    done = 0
-    while True:
-        lead = ranked.where((F.col("rank") > done) & (F.col("rank") <= done + leaders)).select("key", F.col("node").alias("a"), F.col("rank").alias("ra"), *([F.col("component").alias("ca")] if links is not None else []))
-        pairs = lead.join(ranked.where(F.col("rank") > done).withColumnRenamed("node", "b"), "key").where("rank > ra" + (" and ca <> component" if links is not None else "")).select("a", "b").distinct()
-        if links is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        checked = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        new = checked.mapInPandas(_verified(threshold, k), "a long, b long, similarity double")
-        links = materialize(new if links is None else links.unionByName(new), "links")
-        tried = pairs if done == 0 else tried.unionByName(pairs)
-        done, leaders = done + leaders, leaders * 4
-        component = connected_components(links.select("a", "b"), "rounds")
-        rest = ranked.drop("component").where(F.col("rank") > done).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        ranked = materialize(rest.join(mixed, "key"), "ranked")
-        if ranked.isEmpty():
-            return links, texts
-
+def _links(src: DataFrame, seen: DataFrame, cluster: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b): stars of the classes found in every pair of blocks of every cluster."""
+    involved = materialize(cluster.join(seen.select(F.col("rid").alias("node"), "doc_id", "digest", "size"), "node"), "involved")
+    per = involved.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_CHARS), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    total = involved.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).first()
+    # Clusters of one block share tasks: as many packs as their characters and texts fill.
+    packs = max(1, -(-2 * (total["chars"] or 0) // BLOCK_CHARS), -(-2 * total["n"] // BLOCK_TEXTS))
+    placed = involved.join(per, "cluster").select(F.col("doc_id").alias("i_doc"), F.col("digest").alias("i_digest"), "node", "cluster", "blocks")
+    side = F.broadcast(placed) if total["n"] <= BROADCAST_IDS else placed
+    rows = src.join(side, F.col("doc_id").eqNullSafe(F.col("i_doc")) & (F.col("digest") == F.col("i_digest"))).select("node", "cluster", "blocks", "text").dropDuplicates(["node"])
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("cluster").alias("g"), F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    alone = F.array(F.struct(F.lit(-1).cast("long").alias("g"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("int").alias("i"), F.lit(0).alias("j")))
+    tasks = rows.withColumn("block", block).select("node", "cluster", "text", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(other)).alias("t")).select("t.*", "node", "cluster", "text")
+    return materialize(tasks.groupBy("g", "i", "j").applyInPandas(_verify(threshold, k), "a long, b long"), "links")
 
 
 def keep_one(docs: DataFrame, *, threshold: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
