@@ -19,7 +19,7 @@ from .common import connected_components, discard, materialize
 
 SIMILARITY = 0.98
 #: Nodes that the centres are fitted on, at most; nodes a cluster should hold; clusters of a node; nodes of a shard's block, at most.
-FIT_ROWS, CLUSTER_NODES, OVERLAP, BLOCK = 20_000, 1500, 3, 3000
+FIT_ROWS, CLUSTER_NODES, OVERLAP, BLOCK = 20_000, 500, 2, 3000
 #: Graph: nearest and random candidates of a node, edges kept, pruning factor; search: beam, its batch, and how far below the radius it expands.
 NEAR, FAR, DEGREE, ALPHA, BEAM, BATCH, SLACK = 32, 8, 16, 1.2, 24, 256, 0.03
 #: Queries of a shard that are audited against brute force, and the recall asked of them.
