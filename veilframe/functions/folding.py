@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -36,28 +37,50 @@ def fold_char(ch: str) -> str:
 _RUN = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in SEPARATOR_RANGES) + "]+")
 
 
+class _Fold(dict):
+    """Code point -> folded form, filled as met; str.translate reads it without leaving C."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = folded = fold_char(chr(code))
+        return folded
+
+
+_FOLD = _Fold()
+
+
 def fold_text(text: str) -> str:
     """Folded text; runs of separators are one space."""
     text = _RUN.sub(" ", text)
-    return text.lower() if text.isascii() else "".join(map(fold_char, text))
+    return text.lower() if text.isascii() else text.translate(_FOLD)
 
 
 def fold_term(term: str) -> str:
     return fold_text(term).strip(" ")
 
 
-def fold_spans(text: str) -> tuple[str, list[int], list[int]]:
+def fold_spans(text: str) -> tuple[str, Sequence[int], Sequence[int]]:
     """Folded text with the code-point span in `text` behind each of its characters; a run's space covers the run."""
+    if text.isascii() or all(len(_FOLD[ord(c)]) == 1 for c in set(text)):
+        # Letters stay one for one, so only runs of separators move what follows them.
+        begin: list[int] = []
+        end: list[int] = []
+        at = 0
+        for m in _RUN.finditer(text):
+            if m.end() - m.start() > 1:
+                begin.extend(range(at, m.start() + 1))
+                end.extend(range(at + 1, m.start() + 1))
+                end.append(m.end())
+                at = m.end()
+        begin.extend(range(at, len(text)))
+        end.extend(range(at + 1, len(text) + 1))
+        return fold_text(text), begin, end
     out: list[str] = []
-    begin: list[int] = []
-    end: list[int] = []
+    begin, end = [], []
     for i, ch in enumerate(text):
-        folded = fold_char(ch)
-        if folded == " " and ch in SEPARATORS:
-            if out and out[-1] == " " and end[-1] == i:
-                end[-1] = i + 1
-                continue
-        for c in folded:
+        if ch in SEPARATORS and out and out[-1] == " " and end[-1] == i:
+            end[-1] = i + 1
+            continue
+        for c in _FOLD[ord(ch)]:
             out.append(c)
             begin.append(i)
             end.append(i + 1)
