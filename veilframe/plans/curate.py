@@ -146,13 +146,16 @@ def clean_titles(items: DataFrame, title: str = "title") -> DataFrame:
 
 def merge_candidates(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped), one row a folded key: origins in first-seen order, the nicest spelling, and no key both kept and dropped."""
-    origin = F.struct("source_idx", "kind", "role")
-    seen = F.transform(F.array_sort(F.collect_list(F.struct("source_idx", "seq", origin.alias("o")))), lambda x: x["o"])
-    grouped = cleaned.withColumn("nice", niceness(F.coalesce("text", F.lit(""))))
-    order = F.struct("nice", (-F.col("source_idx")).alias("a"), (-F.col("seq")).alias("b"))
-    kept = grouped.where("reason = ''").groupBy("key").agg(F.max_by("text", order).alias("text"), F.array_distinct(seen).alias("origins"))
-    first = F.min_by("reason", F.struct("source_idx", "seq"))
-    dropped = grouped.where("reason <> ''").groupBy("key").agg(first.alias("reason"), F.array_distinct(seen).alias("origins")).join(kept.select("key"), "key", "left_anti")
+    # A key's rows are first reduced to one a source, so a title that stands everywhere is never gathered in one place.
+    nice = cleaned.withColumn("nice", niceness(F.coalesce("text", F.lit(""))))
+    place = [(-F.col("source_idx")).alias("a"), (-F.col("seq")).alias("b")]
+    per = nice.groupBy("key", F.col("reason") == "", "source_idx", "kind", "role").agg(F.max(F.struct("nice", *place, "text")).alias("best"), F.min(F.struct("seq", "reason")).alias("first"))
+    per = per.toDF("key", "is_kept", "source_idx", "kind", "role", "best", "first")
+    seen = F.array_sort(F.collect_list(F.struct("source_idx", F.col("first.seq").alias("seq"), F.struct("source_idx", "kind", "role").alias("o"))))
+    origins = F.transform(seen, lambda x: x["o"]).alias("origins")
+    kept = per.where("is_kept").groupBy("key").agg(F.max("best")["text"].alias("text"), origins)
+    why = F.min(F.struct("source_idx", "first"))["first"]["reason"].alias("reason")
+    dropped = per.where("not is_kept").groupBy("key").agg(why, origins).join(kept.select("key"), "key", "left_anti")
     return kept, dropped
 
 
