@@ -18,6 +18,8 @@ from veilframe.functions.folding import fold_column
 from veilframe.operators.dictionary import Dictionary, Tally
 
 SPANS = "array<struct<start:int,end:int,folded:string,suffix:string>>"
+#: Terms that may be broadcast as rows of a join.
+BROADCAST_TERMS = 200_000
 HITS = "array<struct<folded:string,replaced:int,dropped:int>>"
 REWRITTEN = f"struct<value:string,changed:boolean,vanished:boolean,replaced:int,dropped:int,hits:{HITS},error:string>"
 
@@ -127,14 +129,25 @@ def term_hits(docs: DataFrame, d: Dictionary, *, key: str = "doc_id", text: str
 def token_hits(docs: DataFrame, terms: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same for whole-word, single-word terms by an equi-join of folded tokens: no Python, any number of terms.
 
-    A document's tokens are counted before the join, so a common word is one row a document.
+    Few terms are broadcast, so that only their hits are shuffled; with many, a document's tokens are counted before the join, so a common word
+    is one row a document.
     """
     words = F.filter(F.split(fold_column(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    tokens = docs.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = docs.select(key, F.explode(words).alias("token"))
     forms = terms.select("folded", F.explode(F.array(F.col("folded"), F.concat("folded", F.lit("s")), F.concat("folded", F.lit("es")))).alias("token"))
     exact = forms.withColumn("extra", F.char_length("token") - F.char_length("folded"))
-    best = exact.groupBy("token").agg(F.min_by("folded", "extra").alias("folded"))
-    return tokens.join(best, "token").groupBy("folded").agg(F.sum("n").alias("hits"), F.countDistinct(key).alias("docs"))
+    side, small = checked_side(exact.groupBy("token").agg(F.min_by("folded", "extra").alias("folded")))
+    if small:
+        per = tokens.join(side, "token").groupBy(key, "folded").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        per = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")).join(side, "token")
+    return per.groupBy("folded").agg(F.sum("n").alias("hits"), F.countDistinct(key).alias("docs"))
+
+
+def checked_side(side: DataFrame, rows: int = BROADCAST_TERMS) -> tuple[DataFrame, bool]:
+    """The small side of a join, marked for broadcast only if it has at most so many rows."""
+    small = side.limit(rows + 1).count() <= rows
+    return (F.broadcast(side) if small else side), small
 
 
 def ngram_find(docs: DataFrame, terms: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
@@ -145,7 +158,7 @@ def ngram_find(docs: DataFrame, terms: DataFrame, *, key: str = "doc_id", text:
     """
     tokens = docs.select(key, F.filter(F.split(fold_column(text), r"[^\p{L}\p{N}']+"), lambda w: w != "").alias("t"))
     grams = tokens.select(key, "t", F.posexplode("t").alias("at", "w")).select(key, "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("t") - F.col("at"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("t", F.col("at") + 1, n), " ").alias("gram")))).alias("g"))
-    found = grams.select(key, "at", F.col("g.n").alias("n"), F.col("g.gram").alias("folded")).join(terms.select("folded").distinct(), "folded")
+    found = grams.select(key, "at", F.col("g.n").alias("n"), F.col("g.gram").alias("folded")).join(checked_side(terms.select("folded").distinct())[0], "folded")
     ordered = F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("neg"), "folded")))
     empty = F.expr("cast(array() as array<struct<at:int,words:int,folded:string>>)")
     step = lambda acc, x: F.when((F.size(acc) == 0) | (x["at"] >= F.element_at(acc, -1)["at"] + F.element_at(acc, -1)["words"]), F.concat(acc, F.array(F.struct(x["at"].alias("at"), (-x["neg"]).alias("words"), x["folded"].alias("folded"))))).otherwise(acc)
