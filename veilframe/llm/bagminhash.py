@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize
+from .common import bounded_batches, connected_components, discard, materialize
 from .textkit import Texts, chunks, counted, mix, shingles
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, k: int =
     finds and never a pair. The stars' components are the classes. So no candidate is dropped and a bucket's rows are only as many as its
     texts.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     src = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     src = src.withColumn("digest", F.md5(F.col("text").cast("binary")))
     rows = src.withColumn("rid", F.monotonically_increasing_id())

@@ -17,11 +17,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .textkit import chunks
 
 
 #: Matches whose ids a worker keeps.
-CACHE = 300_000
+CACHE = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -73,13 +74,14 @@ class ByteBpe:
     def tools(self):
         if self.key not in _BUILT:
             by_rank = {r: t for t, r in read_ranks(self.ranks).items()}
-            _BUILT[self.key] = (build_tokenizer(self.ranks, self.pattern), [by_rank.get(i, b"") for i in range(max(by_rank) + 1)], regex.compile(self.pattern).findall, {}, build_tokenizer(self.ranks, None))
+            table = [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
+            _BUILT[self.key] = (build_tokenizer(self.ranks, None), table, regex.compile(self.pattern).findall, {}, list(range(len(table))))
         return _BUILT[self.key]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text. Matches of the pattern repeat, so the tokenizer is given each new match once: its answers are kept
         for CACHE matches, then the cache starts anew."""
-        _, _, find, cache, tok = self.tools
+        tok, _, find, cache, number = self.tools
         out: list[list[int]] = []
         for _, held in chunks(texts, 1 << 19):
             split = [find(t) for t in held]
@@ -88,7 +90,7 @@ class ByteBpe:
                 cache.clear()
                 new = list({p for pieces in split for p in pieces})
             for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                cache[p] = e.ids
+                cache[p] = tuple([number[i] for i in e.ids])
             for pieces in split:
                 ids: list[int] = []
                 for p in pieces:
@@ -98,7 +100,9 @@ class ByteBpe:
 
     def encode_with_offsets(self, texts: list[str | None]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """Ids with code-point offsets; tokens that share a character's bytes share its offsets."""
-        got = self.tools[0].encode_batch([t if isinstance(t, str) else "" for t in texts], add_special_tokens=False)
+        if self.key + "+" not in _BUILT:
+            _BUILT[self.key + "+"] = (build_tokenizer(self.ranks, self.pattern),)
+        got = _BUILT[self.key + "+"][0].encode_batch([t if isinstance(t, str) else "" for t in texts], add_special_tokens=False)
         return [(e.ids, e.offsets) for e in got]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -127,6 +131,7 @@ def _quiet() -> None:
 
 def encode_documents(spark: SparkSession, docs: DataFrame, bpe: ByteBpe, *, text: str = "text") -> DataFrame:
     """All columns of docs, and ids: array<int>."""
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(bpe)
 
     @F.pandas_udf("array<int>")
@@ -140,6 +145,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, bpe: ByteBpe, *, text
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, bpe: ByteBpe) -> DataFrame:
     """All columns and decoded: binary."""
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(bpe)
 
     @F.pandas_udf("binary")
@@ -152,6 +158,7 @@ def decode_documents(spark: SparkSession, encoded: DataFrame, bpe: ByteBpe) -> D
 
 def token_digests(spark: SparkSession, docs: DataFrame, bpe: ByteBpe) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode and digest in one pass, so that ids never travel."""
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(bpe)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -48,6 +48,13 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let no Arrow batch hold more rows than this, so that a worker's memory is that of some texts, not of ten thousand."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def fold_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids have fold null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

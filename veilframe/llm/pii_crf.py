@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -110,7 +112,7 @@ class BiLstmCrf:
     def _sig(x: np.ndarray) -> np.ndarray:
         return 0.5 * (1 + np.tanh(0.5 * x))
 
-    def _lstm(self, x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
+    def _lstm(self, x: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         n, t, h = len(x), x.shape[1], HIDDEN
         hs, hp, cp, tape = np.zeros((n, t, h), np.float32), np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), []
         xin = x @ w[:EMBED] + b
@@ -120,7 +122,8 @@ class BiLstmCrf:
             ig, fg, og, g = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :], np.tanh(a[:, 3 * h :])
             c = fg * cp + ig * g
             tc = np.tanh(c)
-            tape.append((ig, fg, og, g, cp, tc, hp))
+            if keep:
+                tape.append((ig, fg, og, g, cp, tc, hp))
             hp, cp = og * tc, c
             hs[:, i] = hp
         return hs, tape
@@ -140,11 +143,11 @@ class BiLstmCrf:
             dx[:, i], nh, nc = back[:, :EMBED], back[:, EMBED:], dc * fg
         return dx, dw, db
 
-    def emissions(self, ids: np.ndarray) -> tuple:
+    def emissions(self, ids: np.ndarray, keep: bool = False) -> tuple:
         p = self.p
         x = p["E"][ids]
-        f, tf = self._lstm(x, p["Wf"], p["bf"])
-        b, tb = self._lstm(x[:, ::-1], p["Wb"], p["bb"])
+        f, tf = self._lstm(x, p["Wf"], p["bf"], keep)
+        b, tb = self._lstm(x[:, ::-1], p["Wb"], p["bb"], keep)
         both = np.concatenate([f, b[:, ::-1]], 2)
         return both @ p["O"] + p["ob"], x, both, tf, tb
 
@@ -176,7 +179,7 @@ class BiLstmCrf:
         for step in range(1, steps + 1):
             at = r.integers(0, len(ids), batch)
             x_id, y = ids[at], tags[at]
-            em, x, both, tf, tb = self.emissions(x_id)
+            em, x, both, tf, tb = self.emissions(x_id, keep=True)
             a, b, e, z = self._forward_backward(em)
             post = a * b
             post /= post.sum(2, keepdims=True)
@@ -283,7 +286,7 @@ def windows_of(text: str) -> list[int]:
     return list(starts)
 
 
-def model_spans(texts: list[str], model: BiLstmCrf, sure: float = SURE, batch: int = 512) -> list[list[tuple[str, int, int]]]:
+def model_spans(texts: list[str], model: BiLstmCrf, sure: float = SURE, batch: int = 256) -> list[list[tuple[str, int, int]]]:
     """Spans of the model. Windows overlap by half; a character's posterior is taken from the window whose middle is nearest,
     and the text is then decoded once over its joined posteriors, so that a span across windows is one span."""
     jobs = [(i, s) for i, t in enumerate(texts) for s in windows_of(t)]
@@ -368,6 +371,8 @@ def detect(docs: DataFrame, model: BiLstmCrf) -> DataFrame:
     """All columns of docs, and base_spans and added_spans: array<struct<kind,start,end>>."""
     kind = "struct<base:array<struct<kind:string,start:int,end:int>>,added:array<struct<kind:string,start:int,end:int>>>"
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf(kind)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
@@ -382,6 +387,8 @@ def detect(docs: DataFrame, model: BiLstmCrf) -> DataFrame:
 def mask(docs: DataFrame, model: BiLstmCrf) -> DataFrame:
     """docs with its text's spans replaced by [EMAIL], [IP], [CARD] or [PHONE]; null texts stay null."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:

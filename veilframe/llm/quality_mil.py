@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_ids
+from .common import bounded_batches, labelled_ids
 from .textkit import Texts, chunks, letter_table, mix, repeated, symbol_table
 
 PASSAGE = 64
@@ -142,6 +142,7 @@ def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, remainder: int = 2, per_class: int = FIT_PER_CLASS) -> GatedAttention:
     """Fit on at most per_class labelled documents of either class, outside the held-out fold."""
+    bounded_batches(docs.sparkSession)
     ids = labelled_ids(labels, "quality", modulus=modulus, remainder=remainder, per_class=per_class)
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(_fit_rows, "doc_id long, y int, x binary")
     got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(4 * per_class).collect()
@@ -158,6 +159,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, remaind
 def score_quality(docs: DataFrame, model: GatedAttention, *, text: str = "text", score: str = "quality_score") -> DataFrame:
     """All columns of docs and the score; the model travels with the function (a few kilobytes)."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_ids
+from .common import bounded_batches, labelled_ids
 from .textkit import Texts, chunks, counted, mix
 
 FIT_TOXIC, FIT_OTHER, MAX_FEATURES, MIN_DOCS = 2500, 5000, 8192, 3
@@ -116,6 +116,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int = 0, fairness: float = 5.0, toxic: int = FIT_TOXIC, other: int = FIT_OTHER) -> Toxicity:
     """Fit on at most `toxic` and `other` labelled documents of the two classes, outside the held-out fold."""
+    bounded_batches(docs.sparkSession)
     ids = labelled_ids(labels, "toxic", modulus=modulus, remainder=remainder, per_class=other)
     rare = ids.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic)
     ids = ids.where("y = 0").unionByName(rare)
@@ -157,6 +158,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remain
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, *, text: str = "text", score: str = "toxic_score") -> DataFrame:
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
