@@ -486,3 +486,14 @@ def test_ids_equal_the_ranks_own(spark, tok):
     back = bpe.decode_documents(spark, bpe.encode_documents(spark, rows, tok), tok).where("doc_id = 6").first()
     assert bytes(back["decoded"]).decode() == ODD[-1][1]
     assert bpe.token_digests(spark, rows.limit(0), tok).count() == 0
+
+
+def test_pii_query(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "text").collect()}
+    out = queries.op2_pii_crf(spark, SMOKE).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        base = regex_spans(docs[r["doc_id"]])
+        line = [f"{k}:{a}:{b}" for k, a, b in sorted(base, key=lambda x: (pii_crf.KINDS.index(x[0]), x[1]))]
+        assert [r[f"n_{k}"] for k in pii_crf.KINDS] == [sum(x[0] == k for x in base) for k in pii_crf.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(line).encode()).hexdigest() and set(line) <= set(r["spans"].split(","))

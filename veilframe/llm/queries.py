@@ -24,7 +24,11 @@ def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         place = F.transform(spans, lambda s: F.struct(F.array_position(F.array(*map(F.lit, pii_crf.KINDS)), s["kind"]), s["start"], s["end"], s["kind"].alias("kind")))
         return F.array_join(F.transform(F.array_sort(place), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
+    def number(kind: str):
+        # A lambda of two parameters would be given the index as the second.
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in pii_crf.KINDS]
     return found.select("doc_id", *counts, F.sha2(line(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), line(F.concat("base_spans", "added_spans")).alias("spans"))
 
 
