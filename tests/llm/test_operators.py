@@ -450,6 +450,16 @@ def test_embeddings(spark, monkeypatch):
     assert graph_dedup.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_links_beyond_shared_clusters(spark, monkeypatch):
+    """Clusters smaller than a link is long: most links are of vectors that share no cluster, and each counts at both ends."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(rng.normal(size=(700, 3)))]
+    link = brute_links(rows)
+    monkeypatch.setattr(graph_dedup, "CLUSTER_NODES", 9)
+    out = graph_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert {r["vec_id"]: r["n_links"] for r in out.collect()} == {i: len(link[i]) for i in range(len(rows))}
+
+
 def test_graph_reaches_everything():
     x = np.random.default_rng(0).normal(size=(400, 8))
     x /= np.sqrt((x * x).sum(1, keepdims=True))

@@ -3,6 +3,11 @@
 Vectors are compared only within a label (null labels with nothing) and a length. Defined results: null, empty and zero vectors, and vectors with
 null or non-finite components, link with nothing and are their own component; equal vectors collapse into one node with a
 multiplicity and always link; repeated or null vec_ids are rows of their own; further columns are ignored.
+
+Nodes that share a cluster are all compared there, and each pair is counted in the first cluster that both share. A pair
+without one needs OVERLAP clusters on either side that lie near enough to the border; a label of fewer than 2 * OVERLAP
+clusters has none. Elsewhere a node visits the nearest such clusters, and in rounds those that its graph's edges and the
+near nodes found lead to; these pairs are written out and counted once for both ends.
 """
 
 from __future__ import annotations
@@ -20,10 +25,10 @@ from .common import connected_components, discard, materialize
 SIMILARITY = 0.98
 #: Nodes that the centres are fitted on, at most; nodes a cluster should hold; clusters of a node; nodes of a shard's block, at most.
 FIT_ROWS, CLUSTER_NODES, OVERLAP, BLOCK = 20_000, 500, 2, 3000
-#: Graph: nearest and random candidates of a node, edges kept, pruning factor; search: beam, its batch, and how far below the radius it expands.
-NEAR, FAR, DEGREE, ALPHA, BEAM, BATCH, SLACK = 32, 8, 16, 1.2, 24, 256, 0.03
-#: Queries of a shard that are audited against brute force, and the recall asked of them.
-AUDIT, RECALL = 48, 0.99
+#: Graph: nearest and random candidates of a node, edges kept, pruning factor; search: its batch, and how far below the radius it expands.
+NEAR, FAR, DEGREE, ALPHA, BATCH, SLACK = 32, 8, 16, 1.2, 256, 0.03
+#: Clusters beyond its own that a node visits unled, at most, and rounds of visits that are led to.
+SURE, MAX_ROUNDS = 8, 60
 
 
 def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,119 +131,125 @@ def medoid(x: np.ndarray) -> int:
     return int((x @ x.mean(0)).argmax())
 
 
-def _padded(adj: list[np.ndarray]) -> np.ndarray:
-    wide = max(1, max(map(len, adj)))
-    out = np.full((len(adj), wide), -1, np.int64)
-    for i, a in enumerate(adj):
-        out[i, : len(a)] = a
+def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lowest cluster in both lists of each row (-1 is padding), or -1."""
+    big = np.iinfo(np.int64).max
+    out = np.full(len(a), big)
+    for k in range(a.shape[1]):
+        out = np.where((a[:, k] >= 0) & (a[:, [k]] == b).any(1), np.minimum(out, a[:, k]), out)
+    return np.where(out == big, -1, out)
+
+
+def open_clusters(x: np.ndarray, c: np.ndarray, lists: np.ndarray, threshold: float) -> np.ndarray:
+    """(row, cluster) true where a linked node that shares no cluster with the row could lie.
+
+    Such a node is no nearer to any cluster of the row's list than to any of its own, so the row is within the link's length
+    of all those borders; and its whole list has to be open to the row.
+    """
+    n, k = len(x), len(c)
+    wide = lists.shape[1]
+    if k < 2 * wide:
+        return np.zeros((n, k), bool)
+    s, row = x @ c.T, np.arange(n)
+    gap = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+    out = np.ones((n, k), bool)
+    for j in range(wide):
+        own = lists[:, j]
+        out &= s[row, own][:, None] - s <= np.sqrt(max(2 - 2 * threshold, 0)) * gap[own] + 1e-6
+        out[row, own] = False
+    out[out.sum(1) < wide] = False
     return out
 
 
-def greedy_search(x: np.ndarray, table: np.ndarray, start: int, q: np.ndarray, radius: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs within the radius: greedy search from the medoid with a beam, then expansion of all near nodes found."""
-    n, m = len(x), len(q)
-    seen = np.zeros((m, n + 1), bool)
-    seen[:, n] = True
-    sims = np.full((m, n), -2, np.float32)
-    beam = min(beam, n)
-    best_s, best_i, done = np.full((m, beam), -2, np.float32), np.full((m, beam), n, np.int64), np.ones((m, beam), bool)
-    best_i[:, 0], best_s[:, 0], done[:, 0] = start, q @ x[start], False
-    seen[:, start] = True
-    sims[:, start] = best_s[:, 0]
-    live = np.arange(m)
-    expanded = np.zeros((m, n), bool)
-    while len(live):
-        open_s = np.where(done[live], -3, best_s[live])
-        pick = open_s.argmax(1)
-        node = best_i[live, pick]
-        done[live, pick] = True
-        expanded[live, node] = True
-        nb = table[node]
-        new = ~seen[live[:, None], nb]
-        nb = np.where(new, nb, n)
-        seen[live[:, None], nb] = True
-        s = np.where(nb < n, np.einsum("md,mkd->mk", q[live], x[np.minimum(nb, n - 1)]), np.float32(-2))
-        a, b = np.nonzero(nb < n)
-        sims[live[a], nb[a, b]] = s[a, b]
-        all_s, all_i = np.concatenate([best_s[live], s], 1), np.concatenate([best_i[live], nb], 1)
-        all_d = np.concatenate([done[live], nb >= n], 1)
-        top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-        best_s[live], best_i[live], done[live] = (np.take_along_axis(v, top, 1) for v in (all_s, all_i, all_d))
-        live = live[~done[live].all(1)]
-    while True:
-        a, i = np.nonzero((sims >= radius - SLACK) & ~expanded)
-        if not len(a):
-            break
-        expanded[a, i] = True
-        for at in range(0, len(a), 20_000):
-            aa = a[at : at + 20_000]
-            nb = table[i[at : at + 20_000]]
-            who = np.repeat(aa, nb.shape[1])
-            nb = nb.ravel()
-            new = ~seen[who, nb]
-            code = np.unique(who[new] * (n + 1) + nb[new])
-            who, nb = code // (n + 1), code % (n + 1)
-            seen[who, nb] = True
-            sims[who, nb] = np.einsum("md,md->m", q[who], x[nb])
-    return np.nonzero(sims >= radius - 1e-4)
-
-
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("node")
-    node = pdf["node"].to_numpy()
-    adj = build_graph(_matrix(pdf["unit"]))
-    return pd.DataFrame({"node": node, "near": [node[a] for a in adj]})
-
-
-def _search(threshold: float):
+def _surely(x: np.ndarray, c: np.ndarray, may: np.ndarray, wide: int) -> np.ndarray:
+    """The nearest open clusters: one of them is on every list that is wholly open, unless they are more than SURE."""
+    s = np.where(may, x @ c.T, -np.inf)
+    rank = np.argsort(np.argsort(-s, axis=1, kind="stable"), axis=1)
+    return may & (rank < np.minimum(may.sum(1) - wide + 1, SURE)[:, None])
+
+
+def _classes(hit: np.ndarray) -> np.ndarray:
+    """The first row of each row's component in a symmetric matrix of links."""
+    root = np.full(len(hit), -1)
+    for i in range(len(hit)):
+        if root[i] < 0:
+            root[i], todo = i, [i]
+            while todo:
+                more = np.flatnonzero(hit[todo.pop()] & (root < 0))
+                root[more] = i
+                todo += more.tolist()
+    return root
+
+
+def _lists(rows: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(r, np.int64) for r in rows])
+
+
+def _one_hot(lists: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros((len(lists), k), np.float32)
+    out[np.arange(len(lists))[:, None], lists] = 1
+    return out
+
+
+def _compare(threshold: float, centres: dict[str, np.ndarray]):
+    """All pairs of two blocks of a shard (or of one with itself): links counted here, a node each hangs with, clusters to visit."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, cluster, c = pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["cluster"].iloc[0], centres.get(pdf["grp"].iloc[0])
+        pdf = pd.concat([pdf[pdf["block"] == b].sort_values("node") for b in sorted({i, j})])
+        node, mult, lists, x = pdf["node"].to_numpy(), pdf["mult"].to_numpy(), _lists(pdf["clusters"]), _matrix(pdf["unit"])
+        n, rows = len(node), int((pdf["block"] == i).sum())
+        cols = 0 if i == j else rows
+        may = open_clusters(x, c, lists, threshold) if c is not None else np.zeros((n, 1), bool)
+        far = may.any()
+        visit = np.zeros(may.shape, bool)
+        has = _one_hot(lists, len(c)) if far else None
+        links, hit = np.zeros(n, np.int64), np.zeros((n, n), bool)
+        for lo in range(0, rows, BATCH):
+            own = np.arange(lo, min(rows, lo + BATCH))
+            s = x[own] @ x[cols:].T
+            if far:
+                near = (s >= threshold - SLACK).astype(np.float32)
+                visit[own] |= near @ has[cols:] > 0
+                visit[cols:] |= near.T @ has[own] > 0
+            a, b = np.nonzero(s >= threshold)
+            a, b = own[a], cols + b
+            a, b = a[a < b], b[a < b]
+            hit[a, b] = hit[b, a] = True
+            here = first_common(lists[a], lists[b]) == cluster
+            a, b = a[here], b[here]
+            np.add.at(links, a, mult[b])
+            np.add.at(links, b, mult[a])
+        if far and i == j:
+            visit |= _surely(x, c, may, lists.shape[1])
+            for r, near in enumerate(build_graph(x)):
+                visit[r] |= has[near].any(0)
+        visit &= may
+        return pd.DataFrame({"node": node, "links": links, "root": node[_classes(hit)], "visits": [np.flatnonzero(v) for v in visit]})
+
+    return run
+
+
+def _visit(threshold: float, centres: dict[str, np.ndarray]):
+    """Visitors against a block's members: those linked that share no cluster, and the clusters that near members lead to."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        member = pdf[pdf["member"]].sort_values("node")
-        query = pdf[pdf["query"]].sort_values("node")
-        out = pd.DataFrame({"node": query["node"], "links": np.zeros(len(query), np.int64), "root": query["node"]})
+        member, query = pdf[pdf["member"]], pdf[~pdf["member"]]
+        c = centres[pdf["grp"].iloc[0]]
         if not len(member) or not len(query):
-            return out
-        ids, qid = member["node"].to_numpy(), query["node"].to_numpy()
-        x, q = _matrix(member["unit"]), _matrix(query["unit"])
-        x32, q32 = x.astype(np.float32), q.astype(np.float32)
-        adj = []
-        for a in member["near"]:
-            a = np.asarray(a if a is not None else [], np.int64)
-            at = np.searchsorted(ids, a)
-            at = at[(at < len(ids))]
-            a = a[np.searchsorted(ids, a) < len(ids)]
-            adj.append(np.unique(at[ids[at] == a]))
-        table = np.where((t := _padded(adj)) < 0, len(ids), t)
-        table = np.concatenate([table, np.full((1, table.shape[1]), len(ids))])
-        start = medoid(x32)
-        beam = BEAM
-        probe = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
-        truth = q[probe] @ x.T >= threshold
-        while beam < len(x):  # the audit: widen the beam until the probes' neighbours are found
-            a, i = greedy_search(x32, table, start, q32[probe], threshold, beam)
-            hit = np.zeros_like(truth)
-            hit[a, i] = True
-            if (hit & truth).sum() >= RECALL * truth.sum():
-                break
-            beam *= 2
-        home, mult = member["home"].to_numpy(), member["mult"].to_numpy()
-        label = np.unique(np.concatenate([ids, qid]))
-        name = label.copy()
-        at_m, at_q = np.searchsorted(name, ids), np.searchsorted(name, qid)
-        links = np.zeros(len(q), np.int64)
+            return pd.DataFrame({"node": [], "far": [], "visits": []})
+        x, lists, ids = _matrix(member["unit"]), _lists(member["clusters"]), member["node"].to_numpy()
+        q, own = _matrix(query["unit"]), _lists(query["clusters"])
+        has, may, far, visits = _one_hot(lists, len(c)), open_clusters(q, c, own, threshold), [], []
         for lo in range(0, len(q), BATCH):
-            a, i = greedy_search(x32, table, start, q32[lo : lo + BATCH], threshold, beam)
-            exact = np.einsum("md,md->m", q[lo + a], x[i]) >= threshold
-            a, i = a[exact], i[exact]
-            other = ids[i] != qid[lo + a]
-            a, i = a[other], i[other]
-            np.add.at(links, lo + a, np.where(home[i], mult[i], 0))
-            cut = np.searchsorted(a, np.arange(len(q32[lo : lo + BATCH]) + 1))
-            for j in range(len(cut) - 1):
-                if cut[j + 1] > cut[j]:
-                    roots = np.unique(np.append(label[at_m[i[cut[j] : cut[j + 1]]]], label[at_q[lo + j]]))
-                    if len(roots) > 1:
-                        label[np.isin(label, roots[1:])] = roots[0]
-        return pd.DataFrame({"node": qid, "links": links, "root": label[at_q]})
+            s = q[lo : lo + BATCH] @ x.T
+            led = ((s >= threshold - SLACK).astype(np.float32) @ has > 0) & may[lo : lo + BATCH]
+            visits += [np.flatnonzero(v) for v in led]
+            a, b = np.nonzero(s >= threshold)
+            apart = first_common(own[lo + a], lists[b]) < 0
+            a, b = a[apart], b[apart]
+            far += np.split(ids[b], np.searchsorted(a, np.arange(1, len(s))))
+        return pd.DataFrame({"node": query["node"].to_numpy(), "far": far, "visits": visits})
 
     return run
 
@@ -265,7 +276,7 @@ def link_embeddings(vectors: DataFrame, *, threshold: float = SIMILARITY) -> Dat
 
 
 def _search_shards(spark, unit: DataFrame, node: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, root): of every query in every shard it visits, the rows linked there whose home the shard is, and a node it hangs with."""
+    """(node, links, root): of every node in every shard, the rows linked there that no earlier shard counts, and a node it hangs with."""
     sample = unit.select("grp", "unit", "node").orderBy(F.xxhash64("node"), "node").limit(FIT_ROWS).collect()
     sizes = {r["grp"]: r["n"] for r in node.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "grp").limit(FIT_ROWS).collect()}
     by: dict[str, list] = {}
@@ -276,31 +287,54 @@ def _search_shards(spark, unit: DataFrame, node: DataFrame, threshold: float) ->
         x = _matrix(pd.Series(u))
         centres[g] = spherical_kmeans(x, int(max(1, min(len(x) // 8, -(-sizes.get(g, 1) // CLUSTER_NODES)))))
 
+    wide, block_nodes = OVERLAP, BLOCK
+
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for g, part in b.groupby("grp"):
                 c = centres.get(g)
-                if c is None or len(c) == 1:
-                    yield pd.DataFrame({"node": part["node"], "grp": g, "cluster": 0, "home": True, "mult": part["mult"], "unit": part["unit"]})
-                    continue
-                s = _matrix(part["unit"]) @ c.T
-                top = np.argsort(-s, axis=1, kind="stable")[:, :OVERLAP]
-                for r in range(top.shape[1]):
-                    yield pd.DataFrame({"node": part["node"], "grp": g, "cluster": top[:, r], "home": r == 0, "mult": part["mult"], "unit": part["unit"]})
-
-    placed = materialize(unit.mapInPandas(assign, "node long, grp string, cluster long, home boolean, mult long, unit binary"), "placed")
-    blocks = placed.groupBy("grp", "cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(blocks, ["grp", "cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = materialize(placed, "shards")
-    graph = placed.select("grp", "cluster", "block", "node", "unit").groupBy("grp", "cluster", "block").applyInPandas(_build, "node long, near array<long>")
-    graph = materialize(graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    # Every pair of a shard's blocks is one task: block i's nodes as members, block j's as queries; one block is the rule.
-    rows = placed.join(graph, "node")
+                s = _matrix(part["unit"]) @ c.T if c is not None else np.zeros((len(part), 1))
+                top = np.argsort(-s, axis=1, kind="stable")[:, :wide]
+                yield pd.DataFrame({"node": part["node"], "grp": g, "mult": part["mult"], "unit": part["unit"], "clusters": list(top)})
+
+    nodes = materialize(unit.mapInPandas(assign, "node long, grp string, mult long, unit binary, clusters array<long>"), "placed")
+    placed = nodes.withColumn("cluster", F.explode("clusters"))
+    blocks = placed.groupBy("grp", "cluster").agg(F.ceil(F.count(F.lit(1)) / block_nodes).cast("int").alias("blocks"))
+    placed = placed.join(F.broadcast(blocks), ["grp", "cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Every pair of a shard's blocks is one task; one block is the rule.
     j = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    member = rows.withColumn("j", j).select("grp", "cluster", F.col("block").alias("i"), "j", "node", "unit", "near", "mult", "home", F.lit(True).alias("member"), (F.col("j") == F.col("block")).alias("query"))
-    query = placed.where("blocks > 1").withColumn("i", j).where("i <> block").select("grp", "cluster", "i", F.col("block").alias("j"), "node", "unit", F.lit(None).cast("array<long>").alias("near"), "mult", "home", F.lit(False).alias("member"), F.lit(True).alias("query"))
-    found = member.unionByName(query).groupBy("grp", "cluster", "i", "j").applyInPandas(_search(threshold), "node long, links long, root long")
-    return materialize(found, "found")
+    rows = placed.withColumn("other", j).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+    found = materialize(rows.groupBy("grp", "cluster", "i", "j").applyInPandas(_compare(threshold, centres), "node long, links long, root long, visits array<long>"), "found")
+    if all(len(c) < 2 * wide for c in centres.values()):
+        return found.select("node", "links", "root")
+    # Rounds of visits beyond the shards, until near nodes lead to no cluster that is new to a node.
+    new = materialize(found.select("node", F.explode("visits").alias("cluster")).distinct(), "visits")
+    done, far = new, []
+    for _ in range(MAX_ROUNDS):
+        if new.isEmpty():
+            break
+        query = new.join(nodes, "node")
+        parts = query.groupBy("grp", "cluster").agg(F.ceil(F.count(F.lit(1)) / block_nodes).cast("int").alias("parts"))
+        query = query.join(blocks, ["grp", "cluster"]).join(parts, ["grp", "cluster"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        member = placed.join(parts, ["grp", "cluster"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = [d.select("grp", "cluster", "block", "part", "node", "unit", "clusters", F.lit(is_member).alias("member")) for d, is_member in ((member, True), (query, False))]
+        got = both[0].unionByName(both[1]).groupBy("grp", "cluster", "block", "part").applyInPandas(_visit(threshold, centres), "node long, far array<long>, visits array<long>")
+        got = materialize(got, "visited")
+        far.append(got.select("node", F.explode("far").alias("end")))
+        new = materialize(got.select("node", F.explode("visits").alias("cluster")).distinct().join(done, ["node", "cluster"], "left_anti"), "visits")
+        done = done.unionByName(new)
+    else:
+        if not new.isEmpty():
+            raise RuntimeError(f"visits did not settle in {MAX_ROUNDS} rounds")
+    found = found.select("node", "links", "root")
+    if far:
+        pair = far[0]
+        for f in far[1:]:
+            pair = pair.unionByName(f)
+        pair = pair.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+        ends = pair.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pair.select(F.col("b").alias("node"), F.col("a").alias("root")))
+        found = found.unionByName(ends.join(nodes.select(F.col("node").alias("root"), F.col("mult").alias("links")), "root").select("node", "links", "root"))
+    return materialize(found, "links")
 
 
 def audit_recall(vectors: DataFrame, linked: DataFrame, *, threshold: float = SIMILARITY, block: int = 256) -> DataFrame:
