@@ -120,6 +120,18 @@ def test_identity_terms_do_not_raise_scores(spark):
     assert gap[20.0] < 0.05 and gap[20.0] < gap[0.0]
 
 
+def test_toxicity_swaps_beginnings(spark):
+    """A swapped term takes its beginnings along: the weight may not move from the word to them."""
+    toxic = [(i, f"you muslim are stupid trash number w{i}") for i in range(60)]
+    clean = [(100 + i, f"the meeting of neighbours is on day w{i}") for i in range(120)]
+    docs = spark.createDataFrame(toxic + clean, "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1) for i, _ in toxic] + [(i, 0) for i, _ in clean], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, known, fairness=200.0)
+    weight = dict(zip(model.keys.tolist(), model.weight))
+    change = [sum(weight.get(h, 0) for h in toxicity.term_hashes(t)) for t in ("muslim", "jewish", "hindu")]
+    assert abs(change[0] - change[1]) < 0.1 and abs(change[0] - change[2]) < 0.1
+
+
 # --- op2
 
 

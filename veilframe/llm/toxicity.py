@@ -2,12 +2,13 @@
 
 A document is the set of its words and word beginnings (4 to 7 letters), lower-cased; a linear model scores the features
 that labels single out. In labelled sentences with an identity term the term is swapped for the others of
-its group, and the change of score is penalised, so that naming a group does not raise a score. Defined results:
+its group, with all its beginnings, and the change of score is penalised, so that naming a group does not raise a score. Defined results:
 null and empty texts have no features and get the intercept's score; repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,11 @@ def occurrences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(doc), np.concatenate(h)
 
 
+def term_hashes(term: str) -> set[int]:
+    """The hashes of a term and its beginnings."""
+    return set(occurrences([term])[1].tolist())
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """occurrences(), each hash once a document."""
     d, x, _ = counted(*occurrences(texts))
@@ -74,20 +80,22 @@ class Toxicity:
         self.table[:] = False
         self.table[(self.keys >> np.uint64(48)).astype(np.int64)] = True
 
-    def fit(self, doc: np.ndarray, col: np.ndarray, y: np.ndarray, swaps: list[tuple[int, int]], *, fairness: float = 5.0, decay: float = 2e-3, steps: int = 400, rate: float = 0.05) -> None:
-        """Adam on weighted log loss, a ridge, and the squared change of score of every swap (feature out, feature in)."""
+    def fit(self, doc: np.ndarray, col: np.ndarray, y: np.ndarray, swaps: list[tuple[list[int], list[int], float]], *, fairness: float = 5.0, decay: float = 2e-3, steps: int = 400, rate: float = 0.05) -> None:
+        """Adam on weighted log loss, a ridge, and the squared change of score of every swap (features out, features in, times)."""
         n, k = len(y), len(self.keys)
         m, v = np.zeros(k + 1), np.zeros(k + 1)
         share = max(y.mean(), 1e-3)
         wt = np.where(y == 1, 0.35 / share, 0.65 / max(1 - share, 1e-3))
-        out, into = (np.array([s[i] for s in swaps], np.int64) for i in (0, 1))
+        which, sign = [np.repeat(np.arange(len(swaps)), [len(s[0]) + len(s[1]) for s in swaps]), np.array([e for s in swaps for e in [-1.0] * len(s[0]) + [1.0] * len(s[1])])] if swaps else (None, None)
+        feature = np.array([f for s in swaps for f in [*s[0], *s[1]]], np.int64)
+        times = np.array([s[2] for s in swaps], float)
         for i in range(1, steps + 1):
             z = self.bias + np.bincount(doc, self.weight[col], minlength=n)
             err = wt * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
             g = np.bincount(col, err[doc], minlength=k) + decay * self.weight / 10
             if len(swaps):
-                gap = 2 * fairness * (self.weight[into] - self.weight[out]) / len(swaps)
-                g += np.bincount(into, gap, minlength=k) - np.bincount(out, gap, minlength=k)
+                change = np.bincount(which, sign * self.weight[feature], minlength=len(swaps))
+                g += np.bincount(feature, sign * (2 * fairness * times * change / times.sum())[which], minlength=k)
             g = np.append(g, err.sum())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
@@ -146,13 +154,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remain
     if got:
         xs = [np.frombuffer(r["x"], np.int32) for r in got]
         place = {h: int(i) for i, h in enumerate(model.keys.tolist())}
-        swaps = []
-        for g in groups:
-            own = [place[h] for h in g]
-            present = set(own)
-            for x in xs:
-                swaps += [(a, b) for a in present.intersection(x.tolist()) for b in own if b != a]
-            swaps += [(a, b) for a in own for b in own if a != b]  # every pair once, also where no sentence names it
+        # A swap is the whole difference of two terms' features; equal swaps are one with a count.
+        counts: Counter = Counter()
+        for g in IDENTITY:
+            own = {term: frozenset(place[h] for h in term_hashes(term) if h in place) for term in g.split()}
+            word = {term: place[h] for term, h in zip(own, word_hashes(list(own)))}
+            counts.update((a, b, frozenset()) for a in own.values() for b in own.values() if a != b)  # every pair once, also where no sentence names it
+            for held in (frozenset(x.tolist()) for x in xs):
+                for term in [t for t, f in word.items() if f in held]:
+                    for other in own:
+                        if other != term:
+                            # What the document has already does not come in again; a beginning goes even if another word shares it.
+                            counts[(own[term], own[other], own[other] & held)] += 1
+        swaps = [(sorted(a - b), sorted(b - a - have), float(n)) for (a, b, have), n in counts.items()]
         model.fit(np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs).astype(np.int64), np.array([r["y"] for r in got], float), swaps, fairness=fairness)
     return model
 
