@@ -413,6 +413,17 @@ def test_chat(spark):
     assert chat.digests(chat.conversations(chat.format_turns(df.limit(0)))).count() == 0
 
 
+def test_mask_comes_from_examples(spark, monkeypatch):
+    """The query's loss is that of its example rows: without the later examples only the first reply is learnt."""
+    every = chat.examples
+    rows = [(c, t, "assistant" if t % 2 else "user", "ab" * t) for c in (1, None) for t in range(6)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r["conv_id"]: r["loss_chars"] for r in chat.digests(chat.conversations(chat.format_turns(turns))).collect()}
+    monkeypatch.setattr(chat, "examples", lambda segments: every(segments).where("example = 1"))
+    first = {r["conv_id"]: r["loss_chars"] for r in chat.digests(chat.conversations(chat.format_turns(turns))).collect()}
+    assert whole == {1: 18, None: 18} and first == {1: 2, None: 2}
+
+
 # --- op9
 
 

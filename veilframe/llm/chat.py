@@ -59,12 +59,15 @@ def examples(segments: DataFrame) -> DataFrame:
 def conversations(segments: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): each conversation's text, and the loss spans of its examples as array<struct<start,end>>.
 
-    A conversation's own text has to be in one place to be printed or hashed; nothing larger is gathered.
+    The spans are those of examples(), brought back by conversation; one without replies has none. A conversation's own text
+    has to be in one place to be printed or hashed; nothing larger is gathered.
     """
-    turn = F.struct("at", "segment", "start", "end", "trainable")
+    turn = F.struct("at", "segment")
     packed = segments.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    loss = F.transform(F.filter("turns", lambda t: t["trainable"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
-    return packed.select("conv_id", F.array_join(F.transform("turns", lambda t: t["segment"]), "").alias("formatted"), loss.alias("loss"))
+    span = F.struct("example", F.col("target_start").alias("start"), F.col("target_end").alias("end"))
+    spans = examples(segments).groupBy(F.col("conv_id").alias("of")).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    loss = F.transform(F.coalesce("spans", F.array().cast("array<struct<example:int,start:bigint,end:bigint>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return packed.join(spans, F.col("conv_id").eqNullSafe(F.col("of")), "left").select("conv_id", F.array_join(F.transform("turns", lambda t: t["segment"]), "").alias("formatted"), loss.alias("loss"))
 
 
 def render(segments: DataFrame) -> DataFrame:
