@@ -4,37 +4,68 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The scratch tables of the scope that is open, if one is.
+_OPEN: ContextVar[list[str] | None] = ContextVar("veilframe_scratch", default=None)
+_LOCAL: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is named (tests, laptops)."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where none is named and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="veilframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = _LOCAL.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="veilframe-"))
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below scratch_dir() that goes when the driver's JVM ends."""
+    """A new path below scratch_dir(); it goes with the scope that is open, and at the latest when the driver's JVM ends."""
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    held = _OPEN.get()
+    if held is not None:
+        held.append(path)
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving all scratch made within; what is to stay has to be written before, to a path made outside."""
+    mark = _OPEN.set([])
+    try:
+        yield
+    finally:
+        held = _OPEN.get() or []
+        _OPEN.reset(mark)
+        for path in held:
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame, tag: str, *, path: str | None = None, codec: str | None = None) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back, so that lost executors cost no recomputation."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    path = path or scratch_path(df.sparkSession, tag)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -42,10 +73,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table written by materialize() that nothing reads any more."""
-    path, spark = getattr(df, "_scratch", None), df.sparkSession
+    path = getattr(df, "_scratch", None)
     if path:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
