@@ -1,9 +1,12 @@
 """WARC archives: writing pages as records, and reading archives back by boundary-chain verification.
 
 The reader finds every place where a record may begin, works out where it would end, and keeps only the records that the chain from
-the file's start reaches, so that the magic inside a payload is never taken for a record. Defined results: a null
-html is an empty payload; a null page_id is kept as null and never preferred; rows that repeat both page_id and payload of a
-response are the same capture and all responses; a null url becomes an empty target; further columns are ignored.
+the file's start reaches, so that the magic inside a payload is never taken for a record. Archives are scanned once: the stretches
+between magics are kept, compressed, with the file, split and running number that this scan gave them, so a second plan that splits the
+files otherwise changes nothing. Defined results: a null html is an empty payload; a null page_id is kept as null and never
+preferred; rows that repeat both page_id and payload of a response are the same capture and all responses; a null url becomes an
+empty target; a long payload is one record, whatever splits it crosses; an empty table gives an empty archive and no rows; further
+columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +40,9 @@ def _header(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x20\x7f]+", "%20")
 
 
-def write_archives(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES, records: int = FILE_RECORDS, date: str = DATE) -> None:
-    """One record a row, in text files of WARC below path; payloads equal to another's become revisits of the largest page_id."""
+def write_archives(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES, records: int = FILE_RECORDS, date: str = DATE, compression: str = "gzip") -> None:
+    """One record a row, in files of WARC below path (compressed ones are read whole, others may be split); payloads equal to
+    another's become revisits of the largest page_id."""
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", body.alias("html")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     again = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null").select("digest", "first_id")
@@ -60,7 +64,7 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES, r
         line("Content-Length", F.octet_length(payload).cast("string")),
         F.lit("\r\n"),
     )
-    rows.select(F.concat(head, payload).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records).text(path)
+    rows.select(F.concat(head, payload).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records).option("compression", compression).text(path)
     discard(again)
 
 
@@ -68,9 +72,11 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, line, value): the stretches between magics, in file order; splits are read apart.
 
     A split's rows come in order; the running number within the partition orders them, the split's start orders the splits.
+    These numbers hold for one execution of the scan only, so what it read is written out with them.
     """
     text = spark.read.option("lineSep", MAGIC).text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    return materialize(rows, "stretches", codec="zstd")
 
 
 def candidates(pieces: DataFrame) -> DataFrame:
@@ -82,7 +88,7 @@ def candidates(pieces: DataFrame) -> DataFrame:
     head = F.when(F.instr("value", END) > 0, F.substring_index("value", END, 1))
     length = F.regexp_extract(head, r"(?:^|\r\n)[Cc]ontent-[Ll]ength: ([0-9]{1,18})(?:\r\n|$)", 1)
     rows = pieces.withColumn("head", head).withColumn("len", length)
-    rows = materialize(rows.select("file", "block", "line", (F.octet_length("value") + len(MAGIC)).cast("long").alias("size"), F.octet_length("head").alias("head_bytes"), F.expr("try_cast(nullif(len, '') as long)").alias("content")), "pieces")
+    rows = (rows.select("file", "block", "line", (F.octet_length("value") + len(MAGIC)).cast("long").alias("size"), F.octet_length("head").alias("head_bytes"), F.expr("try_cast(nullif(len, '') as long)").alias("content")))
     upto = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     per = rows.groupBy("file", "block").agg(F.sum("size").alias("size"))
     before = per.select("file", "block", F.coalesce(F.sum("size").over(upto("file", "block")), F.lit(0)).alias("base"))
