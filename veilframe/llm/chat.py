@@ -3,8 +3,8 @@
 Template: a user turn is `[INST] text [/INST]`, an assistant turn `text</s>`, any other turn `[ROLE role] text [/ROLE]`.
 Inside roles and texts a backslash is doubled and every control string is broken by a backslash after its first character, which
 unescaping reverses exactly. Defined results: a null text or role is empty (an empty role is one of the others); turns stand by
-turn (null first), role, text, so repeated rows are repeated turns; a null conv_id is a conversation of its own; an
-empty table gives no rows; further columns are ignored.
+turn (null first), role, text, so repeated rows are repeated turns; null conv_ids are one conversation; a very long conversation
+is one text, whose size is its own, and as many examples as it has replies; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,33 +46,46 @@ def format_turns(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "at", "role", "segment", (F.col("stop") - F.col("size")).alias("start"), F.when(trainable, F.col("stop") - len(REPLY_CLOSE)).otherwise(F.col("stop")).alias("end"), trainable.alias("trainable"))
 
 
-def examples(segments: DataFrame) -> DataFrame:
-    """(conv_id, example, context_end, target_start, target_end): one row for each assistant turn.
+def conversations(segments: DataFrame) -> DataFrame:
+    """(conv_id, formatted, turns): each conversation's text and its turns in order.
 
-    An example is its conversation's formatted text up to target_end; all before target_start is context, only the reply bears
-    loss. The shared prefix is referred to, not copied: the copies of n turns would take n * n / 2 turns' space.
+    A conversation's own text has to be in one place to be printed or hashed; nothing larger is gathered.
     """
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))
-    return segments.where("trainable").select("conv_id", place.alias("example"), F.col("start").alias("context_end"), F.col("start").alias("target_start"), F.col("end").alias("target_end"))
+    turn = F.struct("at", "segment", "start", "end", "trainable")
+    packed = segments.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return packed.select("conv_id", F.array_join(F.transform("turns", lambda t: t["segment"]), "").alias("formatted"), "turns")
 
 
-def conversations(segments: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss): each conversation's text, and the loss spans of its examples as array<struct<start,end>>.
+def examples(convs: DataFrame) -> DataFrame:
+    """(conv_id, example, context_end, target_start, target_end, target, formatted): prefix-target expansion of conversations().
 
-    The spans are those of examples(), brought back by conversation; one without replies has none. A conversation's own text
-    has to be in one place to be printed or hashed; nothing larger is gathered.
+    Every assistant turn is exploded into an example of its own. Its context is the conversation's formatted text up to
+    context_end, all turns before; its target, the only part that bears loss, is the reply as formatted, without the closing string.
+    The context is referred to, not copied, since the copies of n turns would take n * n / 2 turns' space: `formatted` stands
+    in a conversation's first example, and render() makes the copies. A conversation without a reply is one row without example.
     """
-    turn = F.struct("at", "segment")
-    packed = segments.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    span = F.struct("example", F.col("target_start").alias("start"), F.col("target_end").alias("end"))
-    spans = examples(segments).groupBy(F.col("conv_id").alias("of")).agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    loss = F.transform(F.coalesce("spans", F.array().cast("array<struct<example:int,start:bigint,end:bigint>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return packed.join(spans, F.col("conv_id").eqNullSafe(F.col("of")), "left").select("conv_id", F.array_join(F.transform("turns", lambda t: t["segment"]), "").alias("formatted"), loss.alias("loss"))
+    replies = F.filter("turns", lambda t: t["trainable"])
+    rows = convs.select("conv_id", "formatted", F.posexplode_outer(replies).alias("i", "t"))
+    start, end = F.col("t.start"), F.col("t.end")
+    target = F.expr(f"left(t.segment, char_length(t.segment) - {len(REPLY_CLOSE)})")
+    return rows.select("conv_id", (F.col("i") + 1).alias("example"), start.alias("context_end"), start.alias("target_start"), end.alias("target_end"), target.alias("target"), F.when(F.coalesce("i", F.lit(0)) == 0, F.col("formatted")).alias("formatted"))
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """(conv_id, formatted, loss): examples() brought back by conversation, loss being array<struct<start,end,target>> in order.
+
+    The rows are still dealt by conversation, so this costs no shuffle.
+    """
+    span = F.when(F.col("example").isNotNull(), F.struct("example", F.col("target_start").alias("start"), F.col("target_end").alias("end"), "target"))
+    got = rows.groupBy("conv_id").agg(F.max("formatted").alias("formatted"), F.array_sort(F.collect_list(span)).alias("spans"))
+    return got.select("conv_id", "formatted", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["target"].alias("target"))).alias("loss"))
 
 
-def render(segments: DataFrame) -> DataFrame:
-    """examples() with prompt and target texts, for those who want the copies."""
-    return examples(segments).join(conversations(segments), "conv_id").select("conv_id", "example", F.expr("substring(formatted, 1, cast(context_end as int))").alias("prompt"), F.expr("substring(formatted, cast(target_start + 1 as int), cast(target_end - target_start as int))").alias("target"))
+def render(convs: DataFrame) -> DataFrame:
+    """(conv_id, example, prompt, target): examples() with their contexts copied, for those who want whole prompts."""
+    whole = convs.select(F.col("conv_id").alias("of"), "formatted")
+    rows = examples(convs).where("example is not null").drop("formatted")
+    return rows.join(whole, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", "example", F.expr("left(formatted, cast(context_end as int))").alias("prompt"), "target")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -90,11 +103,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", F.transform(F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(0)), parsed))
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """The query's columns, from the printed conversations and their loss masks."""
-    rows = read_back(formatted)
+def digests(convs: DataFrame) -> DataFrame:
+    """The query's columns, from the example rows of conversations(): turns read back from the printed text, loss from the targets."""
+    rows = read_back(assembled(examples(convs)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    # The mask cuts the printed text; a reply's escapes go after the cut.
-    learnt = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    learnt = F.array_join(F.transform("loss", lambda s: unescape(s["target"])), "")
     rows = rows.withColumn("learnt", learnt)
     return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.char_length("learnt").cast("long").alias("loss_chars"), F.sha2(F.col("learnt").cast("binary"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
