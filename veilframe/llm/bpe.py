@@ -1,17 +1,23 @@
 """Byte-level BPE over Arrow batches: encoding by published ranks, offsets, and decoding.
 
 The ranks are turned into the vocabulary and merges of a byte-level tokenizer: each byte is a printable character, and a rank's
-merge is the pair that its bytes come down to under the lower ranks. Defined results: a null text is empty; an empty text has
-no ids; special tokens in a text are ordinary text; repeated rows get equal ids; very long texts are encoded whole.
+merge is the pair that its bytes come down to under the lower ranks. Texts are split by the pattern in Python, whose regex engine
+gives the matches that the ranks' own encoder gives, and each distinct match goes through the tokenizers library once a worker, with its
+offsets. Defined results: a null text is empty; an empty text has no ids; special tokens in a text are ordinary text; repeated and equal rows get
+equal ids; very long texts are encoded whole; an empty table gives no rows; further columns stay, but for those that the result's
+names replace.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -63,54 +69,106 @@ def build_tokenizer(data: bytes, pattern: str | None):
     return tok
 
 
+class _Tools:
+    """What a worker process builds once: the tokenizer, the reversed byte table, and the matches met so far.
+
+    The ids, starts and ends (code points within the match) of all matches lie one behind the other in the rows of `flat`; `at`
+    has a match's number, `first` where it begins there, `said` its ids in decimal.
+    """
+
+    def __init__(self, ranks: bytes, pattern: str):
+        self.tok = build_tokenizer(ranks, None)
+        self.find = regex.compile(pattern).findall
+        char = byte_characters()
+        by_rank = {r: "".join(char[x] for x in t) for t, r in read_ranks(ranks).items()}
+        self.token = [by_rank.get(i, "") for i in range(max(by_rank) + 1)]
+        self.byte = np.zeros(512, np.uint8)
+        self.byte[[ord(c) for c in char]] = np.arange(256)
+        self.name = [str(i) for i in range(len(self.token))]
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.said: list[str] = []
+        self.flat = np.zeros((3, 1 << 16), np.int32)
+        self.first, self.chars = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        if not new:
+            return
+        size: list[int] = []
+        flat_ids: list[int] = []
+        places: list[tuple[int, int]] = []
+        for e in self.tok.encode_batch(new, add_special_tokens=False):
+            ids = e.ids
+            size.append(len(ids))
+            flat_ids += ids
+            places += e.offsets
+            self.said.append(" ".join([self.name[i] for i in ids]))
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+        begin, total = int(self.first[-1]), int(self.first[-1]) + len(flat_ids)
+        while total > self.flat.shape[1]:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)], 1)
+        self.flat[0, begin:total] = flat_ids
+        self.flat[1:, begin:total] = np.fromiter(chain.from_iterable(places), np.int32, 2 * len(places)).reshape(-1, 2).T
+        self.first = np.concatenate([self.first, begin + np.cumsum(size)])
+        self.chars = np.concatenate([self.chars, np.fromiter(map(len, new), np.int64, len(new))])
+
+
+class Encoded(NamedTuple):
+    """A text's ids and the code-point offsets of each: [start, end), where tokens that share a character's bytes share its place."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    said: str  # the ids in decimal, with spaces
+
+
 class ByteBpe:
-    """Ranks and pattern, sent to the workers as bytes; each worker process builds its tokenizer once."""
+    """Ranks and pattern, sent to the workers as bytes; each worker process builds its tools once."""
 
     def __init__(self, ranks: bytes, pattern: str):
         self.ranks, self.pattern = ranks, pattern
         self.key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
 
     @property
-    def tools(self):
+    def tools(self) -> _Tools:
         if self.key not in _BUILT:
-            by_rank = {r: t for t, r in read_ranks(self.ranks).items()}
-            table = [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
-            _BUILT[self.key] = (build_tokenizer(self.ranks, None), table, regex.compile(self.pattern).findall, {}, list(range(len(table))))
+            _BUILT[self.key] = _Tools(self.ranks, self.pattern)
         return _BUILT[self.key]
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text. Matches of the pattern repeat, so the tokenizer is given each new match once: its answers are kept
-        for CACHE matches, then the cache starts anew."""
-        tok, _, find, cache, number = self.tools
-        out: list[list[int]] = []
+    def encode_all(self, texts: list[str | None]) -> Iterator[Encoded]:
+        """Each text encoded. Matches of the pattern repeat, so the tokenizer is given each new match once: its answers are kept for
+        CACHE matches, then the cache starts anew."""
+        t = self.tools
         for _, held in chunks(texts, 1 << 19):
-            split = [find(t) for t in held]
-            new = list({p for pieces in split for p in pieces if p not in cache})
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
+            split = [t.find(x) for x in held]
+            new = list({p for pieces in split for p in pieces if p not in t.at})
+            if len(t.at) + len(new) > CACHE:
+                t.clear()
                 new = list({p for pieces in split for p in pieces})
-            for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                cache[p] = tuple([number[i] for i in e.ids])
-            for pieces in split:
-                ids: list[int] = []
-                for p in pieces:
-                    ids += cache[p]
-                out.append(ids)
-        return out
-
-    def encode_with_offsets(self, texts: list[str | None]) -> list[tuple[list[int], list[tuple[int, int]]]]:
-        """Ids with code-point offsets; tokens that share a character's bytes share its offsets."""
-        if self.key + "+" not in _BUILT:
-            _BUILT[self.key + "+"] = (build_tokenizer(self.ranks, self.pattern),)
-        got = _BUILT[self.key + "+"][0].encode_batch([t if isinstance(t, str) else "" for t in texts], add_special_tokens=False)
-        return [(e.ids, e.offsets) for e in got]
-
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes of the ids; a character split between tokens is whole again once they are joined."""
-        table = self.tools[1]
-        return b"".join([table[i] for i in ids])
-
-    def decode_text(self, ids: list[int]) -> str:
+            t.learn(new)
+            for text, pieces in zip(held, split):
+                number = np.fromiter(map(t.at.__getitem__, pieces), np.int64, len(pieces))
+                length = t.chars[number]
+                if int(length.sum()) != len(text):
+                    raise ValueError("the pattern leaves parts of a text unmatched")
+                many = t.first[number + 1] - t.first[number]
+                place = np.arange(int(many.sum())) + np.repeat(t.first[number] - (np.cumsum(many) - many), many)
+                begin = np.repeat(np.cumsum(length) - length, many)
+                ids, starts, ends = t.flat[:, place]
+                yield Encoded(ids, starts + begin, ends + begin, " ".join(map(t.said.__getitem__, number.tolist())))
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [e.ids.tolist() for e in self.encode_all(texts)]
+
+    def decode(self, ids: Sequence[int]) -> bytes:
+        """The bytes of the ids: their characters joined, then each character taken back to its byte. Only then is there text again,
+        so a character split between tokens is whole."""
+        t = self.tools
+        return t.byte[np.frombuffer("".join(map(t.token.__getitem__, ids)).encode("utf-32-le"), np.uint32)].tobytes()
+
+    def decode_text(self, ids: Sequence[int]) -> str:
         return self.decode(ids).decode("utf-8", "replace")
 
 
@@ -130,49 +188,63 @@ def _quiet() -> None:
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, bpe: ByteBpe, *, text: str = "text") -> DataFrame:
-    """All columns of docs, and ids: array<int>."""
+    """All columns of docs, and ids: array<int>, offsets: array<struct<start,end>> in code points; own columns of these names give way."""
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(bpe)
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         _quiet()
         for s in batches:
-            yield pd.Series(sent.value.encode(s.tolist()))
+            got = list(sent.value.encode_all(s.tolist()))
+            yield pd.DataFrame({"ids": [e.ids for e in got], "starts": [e.starts for e in got], "ends": [e.ends for e in got]})
 
-    return docs.withColumn("ids", encoded(F.col(text)))
+    rows = docs.withColumn("__bpe", encoded.asNondeterministic()(F.col(text)))
+    offsets = F.arrays_zip(F.col("__bpe.starts").alias("start"), F.col("__bpe.ends").alias("end"))
+    return rows.withColumn("ids", F.col("__bpe.ids")).withColumn("offsets", offsets.cast("array<struct<start:int,end:int>>")).drop("__bpe")
 
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, bpe: ByteBpe) -> DataFrame:
-    """All columns and decoded: binary."""
+    """All columns of encoded and decoded: binary, in place of any column of that name."""
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(bpe)
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([sent.value.decode(list(x)) for x in s])
+            yield pd.Series([sent.value.decode(list(x)) for x in s], dtype=object)
 
     return encoded.withColumn("decoded", decoded(F.col("ids")))
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, bpe: ByteBpe) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode and digest in one pass, so that ids never travel."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256, spanned): encode, decode and digest in one pass, so that ids
+    never travel.
+
+    offsets_sha256 is of start and end in turn, as little-endian 64-bit numbers; spanned tells that the offsets begin at 0, end at
+    the text's length, and leave nothing out between tokens.
+    """
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(bpe)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _quiet()
         own = sent.value
-        names = [str(i) for i in range(len(own.tools[1]))]
+        sha = lambda data: hashlib.sha256(data).hexdigest()
         for b in batches:
-            size, first, second = [], [], []
+            rows = []
             texts = b["text"].tolist()
-            for at in range(0, len(texts), 256):
-                for ids in own.encode(texts[at : at + 256]):
-                    size.append(len(ids))
-                    first.append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
-                    second.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": size, "ids_sha256": first, "decoded_sha256": second})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for text, e in zip(texts, own.encode_all(texts)):
+                rows.append((len(e.ids), sha(e.said.encode()), sha(own.decode(e.ids.tolist())), sha(np.stack([e.starts, e.ends], 1).astype("<i8").tobytes()), spans(e, len(text) if isinstance(text, str) else 0)))
+            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "spanned"])
+            out.insert(0, "doc_id", b["doc_id"].to_numpy())
+            yield out
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, spanned boolean")
+
+
+def spans(e: Encoded, size: int) -> bool:
+    """Whether a text's offsets begin at 0, end at its length, and leave no code point out."""
+    if not len(e.ids):
+        return size == 0
+    return bool(e.starts[0] == 0 and e.ends[-1] == size and (e.starts[1:] <= e.ends[:-1]).all() and (e.ends[1:] >= e.ends[:-1]).all())
