@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal blocks of words, in DataFrame operations only.
 
 Defined results: a null text has size 0; documents of size 0 take nothing; a null source is a source of its own and stands last;
-an empty table gives an empty result; repeated rows each count and share one document's place in the order only if
-their id and size are equal (then their words follow each other); further columns stay.
+an empty table gives an empty result; repeated rows each count, and ties in the seeded order of a shard (equal id, size and text) are of
+rows that cannot be told apart; null ids are dealt by their texts; a very long document is one document of its size, so its shard is at least as
+large; further columns are ignored. Targets are found over one row a source, in one task: made for up to some millions of sources.
 """
 
 from __future__ import annotations
@@ -68,18 +69,18 @@ def mix_sources(docs: DataFrame, *, block: int = BLOCK, shard_words: int = SHARD
     integer quota. Within a shard the documents lie in a seeded order as one line of words; the quota is whole passes over the
     line, and the blocks of its beginning once more. A shard never exceeds `cap` passes, so no document does.
     """
-    sized = materialize(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")), "sizes")
+    sized = materialize(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).alias("draw")), "sizes")
     targets = materialize(source_targets(sized, weights=weights, cap=cap), "targets")
     seats = targets.withColumn("__one", F.lit(1)).withColumn("__seats", F.floor(F.sum("source_size").over(Window.partitionBy()) / block).cast("long"))
     quota = apportion(seats, ["__one"], "target", "__seats", ["place"], "blocks").select("source", "source_size", "place", "target", "blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("n_shards"))
     # One row a source: within the automatic broadcast limit it is sent to the tasks, beyond it the join is shuffled and skew is split.
     doc = sized.alias("d").join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source"))).select("d.*", "source_size", "target", "place", "blocks", "n_shards")
-    doc = doc.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")))
+    doc = doc.withColumn("shard", F.pmod(F.col("draw"), F.col("n_shards")))
     shards = doc.where("size > 0").groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.max("blocks").alias("blocks"))
     shards = apportion(shards, ["place"], "shard_size", "blocks", ["shard"], "shard_blocks")
     words = F.least(F.col("shard_blocks") * block, F.col("shard_size") * cap)
     shards = shards.select("place", "shard", "shard_size", words.alias("words"))
-    line = Window.partitionBy("place", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("place", "shard").orderBy(F.xxhash64("draw"), "draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     lined = doc.withColumn("__end", F.sum("size").over(line))
     passes = F.floor(F.col("words") / F.col("shard_size"))
     over = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - passes * F.col("shard_size") - (F.col("__end") - F.col("size"))))
