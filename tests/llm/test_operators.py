@@ -240,6 +240,13 @@ def test_mix(spark):
     assert mixed.columns == docs.columns and mixed.where("doc_id in (900, 901)").count() == 0
 
 
+def test_null_ids_are_spread_over_shards(spark):
+    rows = [(None, " ".join([f"w{i}"] * 20), "a") for i in range(200)] + [(i, "w " * 30, "b") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted(tuple(r) for r in mixing.mix_sources(docs.repartition(n), shard_words=400).select("size", "source", "taken").collect()) for n in (3, 7))
+    assert a == b and len(a) == 250
+
+
 def test_mix_bears_odd_rows(spark):
     assert mixing.mix_sources(odd(spark)).count() == len(ODD)
     assert mixing.mix_sources(odd(spark).limit(0)).count() == 0
@@ -271,6 +278,23 @@ def test_archives(spark):
     assert {r["record_type"] for r in warc.archive_round_trip(pages, min_bytes=10**9).collect()} == {"response"}
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_reading_archives_does_not_depend_on_splits(spark, tmp_path, compression):
+    """The files are split otherwise after the plan is made: every page is still one record."""
+    pages = smoke(spark, "pages").select("page_id", "url", F.concat("html", F.lit(warc.MAGIC), "html").alias("html"))
+    path, conf, cost = str(tmp_path / "archive"), "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    warc.write_archives(pages, path, records=60, compression=compression)
+    spark.conf.set(conf, "64k")
+    spark.conf.set(cost, "1k")
+    plan = warc.read_archives(spark, path)
+    spark.conf.set(conf, "300k")
+    spark.conf.unset(cost)
+    got = {r["record_id"]: r["payload"] for r in plan.where("warc_type = 'response'").collect()}
+    spark.conf.unset(conf)
+    want = {f"<urn:page:{r['page_id']}>": r["html"] for r in pages.collect()}
+    assert plan.count() == len(want) and all(want[k] == v for k, v in got.items()) and len(set(want.values())) == len(got)
+
+
 # --- op6
 
 
@@ -395,31 +419,58 @@ def test_chat(spark):
     rows = [(c, t, r, texts[(c + 3 * t) % len(texts)]) for c in range(8) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", None, "odd]role~1", "assistant"])]
     rows += [(None, 0, "user", "x"), (50, 1, "assistant", "b"), (50, 1, "assistant", "b"), (51, 0, "user", "no reply")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1))
-    seg = chat.format_turns(df)
-    packed = chat.conversations(seg)
+    packed = chat.conversations(chat.format_turns(df))
     by = defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((t, r or "", x or ""))
     for r in chat.read_back(packed).collect():
         assert [(x["role"], x["text"]) for x in r["turns"]] == [x[1:] for x in sorted(by[r["conv_id"]])]
-    for r in chat.digests(packed).collect():
-        turns = sorted(by[r["conv_id"]])
+    out = {r["conv_id"]: r for r in chat.digests(packed).collect()}
+    assert len(out) == len(by)
+    for c, turns in by.items():
+        turns, r = sorted(turns), out[c]
         learnt = "".join(x for _, role, x in turns if role == "assistant")
         said = "".join(f"{role}\n{x}\n" for _, role, x in turns)
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
-    shown = chat.render(seg).where("conv_id = 50").orderBy("example").collect()
-    assert [(r["prompt"], r["target"]) for r in shown] == [("", "b"), ("b</s>", "b")]
-    assert chat.examples(seg).count() == sum(r[2] == "assistant" for r in rows)
+    assert chat.examples(packed).where("example is not null").count() == sum(r[2] == "assistant" for r in rows)
     assert chat.digests(chat.conversations(chat.format_turns(df.limit(0)))).count() == 0
 
 
-def test_mask_comes_from_examples(spark, monkeypatch):
-    """The query's loss is that of its example rows: without the later examples only the first reply is learnt."""
+def escaped(text):
+    return re.sub(r"([\[<])(?=INST\]|/INST\]|/?s>|ROLE |/ROLE\])", r"\1\\", text.replace("\\", "\\\\"))
+
+
+def test_examples_equal_full_copies(spark):
+    """One example for each assistant turn: all turns before it as the prompt, its own text as the target, whatever the texts hold."""
+    rng = np.random.default_rng(11)
+    parts = ["</s>", "[INST]", "[/INST]", "\\", "ok", "\n", "😀", "<s>", " ", "[ROLE x]"]
+    rows = [(c, t, str(rng.choice(["user", "assistant", "assistant", "tool"])), "".join(rng.choice(parts, rng.integers(0, 6)))) for c in range(30) for t in range(int(rng.integers(1, 9)))]
+    rows += [(None, t, r, "x") for t, r in enumerate(["user", "assistant"])]
+    want = []
+    for c in {r[0] for r in rows}:
+        said, n = "", 0
+        for _, _, role, text in sorted((r for r in rows if r[0] == c), key=lambda r: r[1]):
+            if role == "assistant":
+                n += 1
+                want.append((c, n, said, escaped(text)))
+            said += {"user": f"[INST] {escaped(text)} [/INST]", "assistant": f"{escaped(text)}</s>"}.get(role, f"[ROLE {role}] {escaped(text)} [/ROLE]")
+    convs = chat.conversations(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert sorted(((r["conv_id"], r["example"], r["prompt"], r["target"]) for r in chat.render(convs).collect()), key=str) == sorted(want, key=str)
+    for r in chat.assembled(chat.examples(convs)).collect():
+        assert all(r["formatted"][x["start"] : x["end"]] == x["target"] for x in r["loss"])
+
+
+def test_loss_comes_from_examples(spark, monkeypatch):
+    """The query's loss is that of its example rows: without the later examples only the first reply is learnt; and no Python runs."""
     every = chat.examples
     rows = [(c, t, "assistant" if t % 2 else "user", "ab" * t) for c in (1, None) for t in range(6)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole = {r["conv_id"]: r["loss_chars"] for r in chat.digests(chat.conversations(chat.format_turns(turns))).collect()}
-    monkeypatch.setattr(chat, "examples", lambda segments: every(segments).where("example = 1"))
+    done = chat.digests(chat.conversations(chat.format_turns(turns)))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan or "Generate posexplode" in plan
+    assert not re.search("Python|Pandas|Arrow", plan) and plan.count("Exchange hashpartitioning") == 1
+    whole = {r["conv_id"]: r["loss_chars"] for r in done.collect()}
+    monkeypatch.setattr(chat, "examples", lambda convs: every(convs).where("example = 1"))
     first = {r["conv_id"]: r["loss_chars"] for r in chat.digests(chat.conversations(chat.format_turns(turns))).collect()}
     assert whole == {1: 18, None: 18} and first == {1: 2, None: 2}
 
@@ -503,6 +554,12 @@ def tok():
     return bpe.load_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def tok_bytes(tok, _held={}):
+    if tok.key not in _held:
+        _held[tok.key] = {r: t for t, r in bpe.read_ranks(tok.ranks).items()}
+    return _held[tok.key]
+
+
 def test_ids_equal_the_ranks_own(spark, tok):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(tok.ranks), special_tokens={})
     rng = np.random.default_rng(8)
@@ -511,14 +568,38 @@ def test_ids_equal_the_ranks_own(spark, tok):
     got = tok.encode(texts)
     assert got == [own.encode_ordinary(t or "") for t in texts]
     assert all(tok.decode(i) == (t or "").encode() for t, i in zip(texts, got))
-    (ids, offsets), = tok.encode_with_offsets(["é😀 the"])
-    assert ids == own.encode_ordinary("é😀 the") and offsets[0][0] == 0 and offsets[-1][1] == 6
+    for text, e in zip(texts, tok.encode_all(texts)):
+        text = text or ""
+        assert bpe.spans(e, len(text)) and e.said == " ".join(map(str, e.ids.tolist()))
+        whole = text.encode()
+        at = np.cumsum([0] + [len(c.encode()) for c in text])
+        byte = 0
+        for i, a, b in zip(e.ids.tolist(), e.starts, e.ends):
+            size = len(tok.decode([i]))
+            assert at[a] <= byte and byte + size <= at[b] and whole[byte : byte + size] == tok.decode([i])
+            byte += size
+    split = tok.encode(["\U0010ffff"])[0]
+    assert len(split) > 1 and all("\ufffd" in tok.decode_text([i]) for i in split) and tok.decode_text(split) == "\U0010ffff"
+    assert all(tok.decode([i]) == b for i, b in tok_bytes(tok).items())
     rows = odd(spark)
     out = {r["doc_id"]: r for r in bpe.token_digests(spark, rows, tok).collect()}
     assert out[2]["n_tokens"] == 0 and out[2]["ids_sha256"] == hashlib.sha256(b"").hexdigest() and out[5]["decoded_sha256"] == hashlib.sha256(b"long " * 20_000).hexdigest()
-    back = bpe.decode_documents(spark, bpe.encode_documents(spark, rows, tok), tok).where("doc_id = 6").first()
-    assert bytes(back["decoded"]).decode() == ODD[-1][1]
-    assert bpe.token_digests(spark, rows.limit(0), tok).count() == 0
+    assert all(r["spanned"] for r in out.values())
+    clash = rows.withColumn("ids", F.lit("own")).withColumn("offsets", F.lit(1)).withColumn("decoded", F.lit(2))
+    back = bpe.decode_documents(spark, bpe.encode_documents(spark, clash, tok), tok).where("doc_id = 6").first()
+    assert bytes(back["decoded"]).decode() == ODD[-1][1] and back["offsets"][0]["start"] == 0 and back["offsets"][-1]["end"] == len(ODD[-1][1])
+    assert sorted(back.asDict()) == sorted([*rows.columns, "ids", "offsets", "decoded"])
+    assert bpe.token_digests(spark, rows.limit(0), tok).count() == 0 and bpe.decode_documents(spark, bpe.encode_documents(spark, clash.limit(0), tok), tok).count() == 0
+
+
+def test_bpe_query(spark, tok):
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(tok.ranks), special_tokens={})
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect()}
+    out = queries.op10_byte_bpe(spark, SMOKE).collect()
+    assert len(out) == len(text)
+    for r in out:
+        ids = own.encode_ordinary(text[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["spanned"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text[r["doc_id"]].encode()).hexdigest(), True)
 
 
 def test_pii_query(spark):
