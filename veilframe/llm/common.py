@@ -94,17 +94,39 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(fold_of(doc_id, modulus) == F.lit(remainder), F.lit(False))
 
 
-def labelled_ids(labels: DataFrame, label: str, *, modulus: int = 0, remainder: int = 0, per_class: int) -> DataFrame:
+def labelled_ids(labels: DataFrame, label: str, *, modulus: int = 0, remainder: int = 0, per_class: int | tuple[int, int]) -> DataFrame:
     """At most per_class ids of each class (doc_id, y), lowest hash first; rows of the held-out fold never enter.
 
-    Of an id with several labels the largest counts; null ids and null labels are left out.
+    per_class may be two numbers, for y = 0 and for y = 1. Of an id with several labels the largest counts; null ids and null
+    labels are left out.
     """
+    none, some = (per_class, per_class) if isinstance(per_class, int) else per_class
     rows = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     if modulus:
         rows = rows.where(fold_of(F.col("doc_id"), modulus) != F.lit(remainder))
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return rows.where("y = 1").orderBy(*order).limit(per_class).unionByName(rows.where("y = 0").orderBy(*order).limit(per_class))
+    return rows.where("y = 1").orderBy(*order).limit(some).unionByName(rows.where("y = 0").orderBy(*order).limit(none))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int | tuple[int, int], max_chars: int, modulus: int = 0, remainder: int = 0) -> DataFrame:
+    """(doc_id, y, text): the bounded sample that a model is fitted on, one row a labelled id, whole texts.
+
+    The ids are those of labelled_ids(); of rows that share an id the one whose text has the greatest hash stands for it. In the order
+    of the ids' hashes a row enters if its code points still fit into max_chars, so both rows and characters are bounded
+    and what is chosen does not depend on how the table is split.
+    """
+    ids = labelled_ids(labels, label, modulus=modulus, remainder=remainder, per_class=per_class)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id").withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("doc_id").agg(F.max(F.struct("h", F.char_length("text").alias("n"), "y")).alias("m")).select("doc_id", "m.*")
+    chosen, room = [], max_chars
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class if isinstance(per_class, int) else sum(per_class)).collect():
+        if r["n"] <= room:
+            chosen.append((r["doc_id"], r["h"]))
+            room -= r["n"]
+    pick = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long")
+    return rows.join(F.broadcast(pick), ["doc_id", "h"]).groupBy("doc_id").agg(F.max("y").alias("y"), F.first("text").alias("text"))
 
 
 def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
