@@ -1,13 +1,16 @@
 """Counterfactual-regularised toxicity classifier.
 
 A document is the set of its words and word beginnings (4 to 7 letters), lower-cased; a linear model scores the features
-that labels single out. In labelled sentences with an identity term the term is swapped for the others of
-its group, with all its beginnings, and the change of score is penalised, so that naming a group does not raise a score. Defined results:
-null and empty texts have no features and get the intercept's score; repeated rows are scored alike.
+that labels single out. In every labelled text that names an identity term the term is swapped for each other of its line, all features
+of the swapped text are taken anew, and the change of its score is penalised, so that naming a group does not raise a score.
+Defined results: null and empty texts have no features and get the intercept's score; very long texts are scored whole, in one pass; repeated rows
+and ties are scored alike; an empty table gives no rows; without labels every score is a half; further columns stay, but for one
+of the score's name, which gives way.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,19 +19,51 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, labelled_ids
+from .common import bounded_batches, discard, labelled_texts, materialize
 from .textkit import Texts, chunks, counted, mix
 
-FIT_TOXIC, FIT_OTHER, MAX_FEATURES, MIN_DOCS = 2500, 5000, 8192, 3
+#: Toxic and other labelled documents, and their code points together, at most; features, and toxic documents that one must stand in.
+FIT_TOXIC, FIT_OTHER, FIT_CHARS, MAX_FEATURES, MIN_DOCS = 2500, 5000, 40_000_000, 8192, 3
 PREFIXES = (4, 5, 6, 7)
-#: Identity terms, one group a line.
+#: Identity terms, one line for each set of terms that may stand for one another.
 IDENTITY = [
-    "women men girls boys female male",
+    "woman man girl boy female male",
+    "women men girls boys females males",
     "gay lesbian straight bisexual transgender queer",
-    "muslim christian jewish hindu buddhist atheist",
+    "gays lesbians straights bisexuals transgenders queers",
+    "muslim christian jew hindu buddhist atheist",
+    "muslims christians jews hindus buddhists atheists",
+    "islamic jewish catholic protestant",
     "black white asian hispanic african european",
+    "blacks whites asians hispanics africans europeans",
     "immigrant refugee foreigner citizen native",
+    "immigrants refugees foreigners citizens natives",
     "disabled deaf blind elderly young",
+    "femme homme fille garçon",
+    "femmes hommes filles garçons",
+    "lesbienne hétérosexuel bisexuel transgenre homosexuel",
+    "musulman chrétien juif hindou bouddhiste athée",
+    "musulmans chrétiens juifs hindous bouddhistes athées",
+    "noir blanc asiatique africain européen arabe",
+    "noirs blancs asiatiques africains européens arabes",
+    "immigré réfugié étranger citoyen",
+    "immigrés réfugiés étrangers citoyens",
+    "frau mann mädchen junge",
+    "frauen männer jungen",
+    "schwul lesbisch heterosexuell bisexuell transgeschlechtlich",
+    "muslim christ jude hindu buddhist atheist",
+    "muslime christen juden hindus buddhisten atheisten",
+    "schwarze weiße asiaten afrikaner europäer araber",
+    "einwanderer flüchtlinge ausländer bürger einheimische",
+    "mujer hombre niña niño",
+    "mujeres hombres niñas niños",
+    "lesbiana heterosexual bisexual transgénero homosexual",
+    "musulmán cristiano judío hindú budista ateo",
+    "musulmanes cristianos judíos hindúes budistas ateos",
+    "negro blanco asiático africano europeo árabe",
+    "negros blancos asiáticos africanos europeos árabes",
+    "inmigrante refugiado extranjero ciudadano",
+    "inmigrantes refugiados extranjeros ciudadanos",
 ]
 
 
@@ -81,24 +116,27 @@ class Toxicity:
         self.table[(self.keys >> np.uint64(48)).astype(np.int64)] = True
 
     def fit(self, doc: np.ndarray, col: np.ndarray, y: np.ndarray, swaps: list[tuple[list[int], list[int], float]], *, fairness: float = 5.0, decay: float = 2e-3, steps: int = 400, rate: float = 0.05) -> None:
-        """Adam on weighted log loss, a ridge, and the squared change of score of every swap (features out, features in, times)."""
+        """Adam on weighted log loss, a ridge, and the squared change of score of every swap (features out, features in, weight)."""
         n, k = len(y), len(self.keys)
         m, v = np.zeros(k + 1), np.zeros(k + 1)
         share = max(y.mean(), 1e-3)
         wt = np.where(y == 1, 0.35 / share, 0.65 / max(1 - share, 1e-3))
-        which, sign = [np.repeat(np.arange(len(swaps)), [len(s[0]) + len(s[1]) for s in swaps]), np.array([e for s in swaps for e in [-1.0] * len(s[0]) + [1.0] * len(s[1])])] if swaps else (None, None)
-        feature = np.array([f for s in swaps for f in [*s[0], *s[1]]], np.int64)
-        times = np.array([s[2] for s in swaps], float)
+        size = np.array([(len(out), len(come)) for out, come, _ in swaps], np.int64).reshape(-1, 2)
+        which = np.repeat(np.arange(len(swaps)), size.sum(1))
+        sign = np.repeat(np.tile([-1.0, 1.0], len(swaps)), size.ravel())
+        feature = np.array([f for out, come, _ in swaps for f in [*out, *come]], np.int64)
+        times = np.array([w for _, _, w in swaps], float)
         for i in range(1, steps + 1):
             z = self.bias + np.bincount(doc, self.weight[col], minlength=n)
             err = wt * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
             g = np.bincount(col, err[doc], minlength=k) + decay * self.weight / 10
-            if len(swaps):
+            if len(feature):
                 change = np.bincount(which, sign * self.weight[feature], minlength=len(swaps))
-                g += np.bincount(feature, sign * (2 * fairness * times * change / times.sum())[which], minlength=k)
+                g += np.bincount(feature, sign * (2 * fairness * times * change)[which], minlength=k)
             g = np.append(g, err.sum())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            step = rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
+            # The step falls to nothing, so that the weights come to rest where the penalty is steep.
+            step = rate * (1 - i / (steps + 1)) * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
             self.weight -= step[:-1]
             self.bias -= step[-1]
 
@@ -122,24 +160,67 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"h": key.view(np.int64), "n": np.bincount(at, minlength=len(key)), "n1": np.bincount(at, y[start + d], minlength=len(key)).astype(np.int64)})
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int = 0, fairness: float = 5.0, toxic: int = FIT_TOXIC, other: int = FIT_OTHER) -> Toxicity:
+def partners() -> dict[str, list[str]]:
+    """The terms that each identity term may be swapped for."""
+    out: dict[str, dict[str, None]] = {}
+    for line in IDENTITY:
+        for term in line.split():
+            out.setdefault(term, {}).update((x, None) for x in line.split() if x != term)
+    return {k: list(v) for k, v in out.items()}
+
+
+def swapped_features(text: str, others: dict[str, list[str]]) -> list[tuple[str, str, set[int], set[int]]]:
+    """(term, other, hashes that go, hashes that come) of a text with every occurrence of a term swapped for another.
+
+    Features are of single words, so the swapped text's are the text's counts, less those of the term's occurrences, and those of
+    the other term; this equals taking the features of the swapped text anew.
+    """
+    words = Counter(w for w in _words(text.lower()) if w in others)
+    if not words:
+        return []
+    _, key, n = counted(*occurrences([text]))
+    count = dict(zip(key.tolist(), n.tolist()))
+    out = []
+    for term, times in words.items():
+        own = Counter(occurrences([term])[1].tolist())
+        gone = {h for h, c in own.items() if count[h] == c * times}
+        for other in others[term]:
+            come = set(occurrences([other])[1].tolist())
+            out.append((term, other, gone - come, {h for h in come if h not in count}))
+    return out
+
+
+def _words(text: str) -> list[str]:
+    t = Texts([text], letters=True)
+    return [text[a:b] for a, b in zip(t.word_start.tolist(), t.word_end.tolist())]
+
+
+def weighed_swaps(found: Counter, others: dict[str, list[str]], place: dict[int, int]) -> list[tuple[list[int], list[int], float]]:
+    """(features out, features in, weight): each pair of terms weighs one, a quarter for the bare terms and the rest for the texts' swaps."""
+    own = {term: {place[h] for h in occurrences([term])[1].tolist() if h in place} for term in others}
+    total: Counter = Counter()
+    for (a, b, _, _), n in found.items():
+        total[a, b] += n
+    swaps = [(sorted(own[a] - own[b]), sorted(own[b] - own[a]), 0.25 if (a, b) in total else 1.0) for a, bs in others.items() for b in bs]
+    swaps += [(sorted(out), sorted(come), 0.75 * n / total[a, b]) for (a, b, out, come), n in found.items()]
+    return [s for s in swaps if s[0] or s[1]]
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int = 0, fairness: float = 5.0, toxic: int = FIT_TOXIC, other: int = FIT_OTHER, max_chars: int = FIT_CHARS) -> Toxicity:
     """Fit on at most `toxic` and `other` labelled documents of the two classes, outside the held-out fold."""
     bounded_batches(docs.sparkSession)
-    ids = labelled_ids(labels, "toxic", modulus=modulus, remainder=remainder, per_class=other)
-    rare = ids.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic)
-    ids = ids.where("y = 0").unionByName(rare)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
-    stats = rows.mapInPandas(_counts, "h long, n long, n1 long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n1") >= MIN_DOCS)
-    sizes = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = materialize(labelled_texts(docs, labels, "toxic", modulus=modulus, remainder=remainder, per_class=(other, toxic), max_chars=max_chars), "labelled")
+    stats = rows.repartition(8, "doc_id").mapInPandas(_counts, "h long, n long, n1 long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n1") >= MIN_DOCS)
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
     p1, p0 = F.col("n1") / n1, (F.col("n") - F.col("n1")) / n0
     pool = (F.col("n") + 1) / (n1 + n0 + 2)
     signal = (p1 - p0) / F.sqrt(pool * (1 - pool) * (1.0 / n1 + 1.0 / n0))
     best = stats.withColumn("signal", signal).where("signal > 4").orderBy(F.desc("signal"), "h").limit(MAX_FEATURES).collect()
-    model = Toxicity()
-    groups = [word_hashes(g.split()) for g in IDENTITY]
+    model, others = Toxicity(), partners()
     model.use(np.array([r["h"] for r in best], np.int64).view(np.uint64) if best else np.zeros(0, np.uint64))
-    model.use(np.concatenate([model.keys, np.array([h for g in groups for h in g], np.uint64)]))
+    model.use(np.concatenate([model.keys, np.array(word_hashes(list(others)), np.uint64)]))
+    place = {h: int(i) for i, h in enumerate(model.keys.tolist())}
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -148,26 +229,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remain
                 at, j = model.known(h)
                 cut = np.searchsorted(d[at], np.arange(len(held) + 1))
                 part = b.iloc[start : start + len(held)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": [j[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(len(held))]})
+                inside = lambda hs: sorted(place[h] for h in hs if h in place)
+                swaps = [[(x, y, inside(out), inside(come)) for x, y, out, come in swapped_features(t, others)] for t in held]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": [j[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(len(held))], "swaps": [json.dumps(x) for x in swaps]})
 
-    got = rows.mapInPandas(chosen, "doc_id long, y int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(4 * (toxic + other)).collect()
+    # As many rows as labelled_texts() chose.
+    got = sorted(rows.repartition(8, "doc_id").mapInPandas(chosen, "doc_id long, y int, x binary, swaps string").collect(), key=lambda r: r["doc_id"])
+    discard(rows)
     if got:
         xs = [np.frombuffer(r["x"], np.int32) for r in got]
-        place = {h: int(i) for i, h in enumerate(model.keys.tolist())}
-        # A swap is the whole difference of two terms' features; equal swaps are one with a count.
-        counts: Counter = Counter()
-        for g in IDENTITY:
-            own = {term: frozenset(place[h] for h in term_hashes(term) if h in place) for term in g.split()}
-            word = {term: place[h] for term, h in zip(own, word_hashes(list(own)))}
-            counts.update((a, b, frozenset()) for a in own.values() for b in own.values() if a != b)  # every pair once, also where no sentence names it
-            for held in (frozenset(x.tolist()) for x in xs):
-                for term in [t for t, f in word.items() if f in held]:
-                    for other in own:
-                        if other != term:
-                            # What the document has already does not come in again; a beginning goes even if another word shares it.
-                            counts[(own[term], own[other], own[other] & held)] += 1
-        swaps = [(sorted(a - b), sorted(b - a - have), float(n)) for (a, b, have), n in counts.items()]
-        model.fit(np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs).astype(np.int64), np.array([r["y"] for r in got], float), swaps, fairness=fairness)
+        found = Counter((a, b, tuple(out), tuple(come)) for r in got for a, b, out, come in json.loads(r["swaps"]))
+        model.fit(np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs).astype(np.int64), np.array([r["y"] for r in got], float), weighed_swaps(found, others, place), fairness=fairness)
     return model
 
 
