@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMOKE
 from veilframe.llm import bagminhash, bpe, chat, graph_dedup, mixing, pii_crf, quality_mil, queries, rules_forest, toxicity, warc
-from veilframe.llm.common import connected_components
-from veilframe.llm.textkit import Texts, chunks, counted, shingles
+from veilframe.llm.common import connected_components, labelled_texts
+from veilframe.llm.textkit import Texts, chunks, counted, mix, shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows that every operator on documents has to bear.
@@ -95,15 +95,91 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert all((a.p[k] == b.p[k]).all() for k in a.p)
 
 
+def counts_of(p):
+    return p.counts(0, len(p.doc)).astype(np.uint8)
+
+
 def test_attention_weighs_passages():
     rng = np.random.default_rng(0)
     good, junk = lambda n: " ".join(f"w{rng.integers(9999)}ab" for _ in range(n)), "#$ " * 64
     bags = [good(256) if i % 2 else good(192) + " " + junk for i in range(60)]
-    doc, x = quality_mil.passage_features(bags)
-    m = quality_mil.GatedAttention()
-    m.fit(x.astype(float), doc, np.array([i % 2 for i in range(60)], float), np.ones(60))
-    f = m.forward(x, doc, 60)
-    assert ((f["s"] > 0.5) == np.array([i % 2 == 1 for i in range(60)])).all() and np.allclose(np.bincount(doc, f["alpha"]), 1)
+    p, m = quality_mil.passages(bags), quality_mil.GatedAttention()
+    m.fit(p.stats.astype(float), counts_of(p), p.doc, np.array([i % 2 for i in range(60)], float), np.ones(60))
+    f = m.attend(m.encode(p.stats, counts_of(p)), p.doc, 60)
+    assert ((f["s"] > 0.5) == np.array([i % 2 == 1 for i in range(60)])).all() and np.allclose(np.bincount(p.doc, f["alpha"]), 1)
+
+
+def test_encoder_learns_words():
+    """Bags that no statistic tells apart: only the words of one passage differ, deep inside a long text."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    common, marks = [word() for _ in range(300)], ["zorbu", "quyxi", "vopwu"]
+
+    def bag(label):
+        w = list(rng.choice(common, 64 * 40))
+        for i in range(12):
+            w[64 * 37 + 5 * i] = marks[i % 3] if label else word()
+        return " ".join(w)
+
+    y = np.array([i % 2 for i in range(120)], float)
+    bags = [bag(t) for t in y]
+    p, m = quality_mil.passages(bags[:80]), quality_mil.GatedAttention()
+    assert len(p.doc) == 80 * 40
+    m.fit(p.stats.astype(float), counts_of(p), p.doc, y[:80], np.ones(80))
+    assert ((m.score(bags[80:]) > 0.5) == (y[80:] == 1)).mean() > 0.9
+
+
+def plain_quality(m, text):
+    """Passages, encodings, attention and score of one text, in plain loops."""
+    words = [(x.start(), x.end()) for x in WORD.finditer(text)]
+    groups = [words[i : i + quality_mil.PASSAGE] for i in range(0, len(words), quality_mil.PASSAGE)] or [[]]
+    hashed = lambda x: int(Texts([x]).span_hash(np.array([0]), np.array([len(x)]))[0])
+    seen, seen2, last, encoded = set(), set(), None, []
+    for group in groups:
+        w = [text[a:b] for a, b in group]
+        n, chars, out = max(len(w), 1), max(sum(map(len, w)), 1), []
+        old = old2 = same = 0
+        here = set()
+        for x in w:
+            old += x in seen
+            seen.add(x)
+            if last is not None:
+                old2 += (last, x) in seen2
+                seen2.add((last, x))
+                same += last == x
+            here.add(x)
+            last = x
+        share = lambda f: sum(f(c) for x in w for c in x) / chars
+        letter = lambda c: c.isalnum() if ord(c) < 65535 else True
+        marks = quality_mil.SYMBOLS
+        out = [old / n, old2 / n, same / n, 1 - (len(w) - len(here)) / n, sum(len(x) == 1 and not letter(x) for x in w) / n, sum(x[-1] in marks for x in w) / n, share(lambda c: c in marks), share(lambda c: "A" <= c <= "Z"), share(lambda c: "0" <= c <= "9"), share(letter), share(lambda c: ord(c) > 127), share(lambda c: c in ".,"), np.log1p(chars / n), np.log1p(len(w)), sum(len(x) > 30 for x in w) / n, np.log1p(len(words))]
+        if not len(words):
+            out = [0.0] * quality_mil.FEATURES
+        count = np.zeros(quality_mil.BUCKETS)
+        for x in w:
+            for i, part in enumerate((x, x[: quality_mil.AFFIX], x[-quality_mil.AFFIX :])):
+                count[int(mix(np.array([hashed(part) + 7 * i & (2**64 - 1)], np.uint64))[0] % quality_mil.BUCKETS)] += 1
+        x = np.clip((np.array(out) - m.mean) / m.scale, -6, 6)
+        encoded.append(np.tanh(x @ m.p["W"] + count / max(np.sqrt((count**2).sum()), 1) @ m.p["E"] + m.p["b"]))
+    gate = np.array([float((np.tanh(h @ m.p["V"]) / (1 + np.exp(-(h @ m.p["U"])))) @ m.p["w"]) for h in encoded])
+    alpha = np.exp(gate - gate.max()) / np.exp(gate - gate.max()).sum()
+    z = sum(a * h for a, h in zip(alpha, encoded))
+    return 1 / (1 + np.exp(-(z @ m.p["u"] + m.p["c"][0])))
+
+
+def test_quality_scores_equal_plain_loops(spark):
+    docs = smoke(spark, "documents")
+    m = quality_mil.fit_quality(docs, smoke(spark, "labels"))
+    texts = [r["text"] or "" for r in docs.orderBy(F.xxhash64("doc_id")).limit(40).collect()] + [t or "" for _, t, _ in ODD]
+    assert np.abs(m.score(texts) - np.array([plain_quality(m, t) for t in texts])).max() < 1e-4
+
+
+def test_fitted_sample_is_bounded(spark):
+    """A hot id gives one row, whatever the order, and long texts enter only while there is room."""
+    docs = spark.createDataFrame([(1, "x" * (i % 7)) for i in range(50)] + [(i, "y" * 10 * i) for i in range(2, 30)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
+    a, b = (sorted(map(tuple, labelled_texts(d, known, "quality", per_class=9, max_chars=1000).collect())) for d in (docs, docs.repartition(5)))
+    assert a == b and len({r[0] for r in a}) == len(a) <= 18 and sum(len(r[2]) for r in a) <= 1000 and len(a) > 3
 
 
 def test_identity_terms_do_not_raise_scores(spark):
@@ -120,16 +196,48 @@ def test_identity_terms_do_not_raise_scores(spark):
     assert gap[20.0] < 0.05 and gap[20.0] < gap[0.0]
 
 
-def test_toxicity_swaps_beginnings(spark):
-    """A swapped term takes its beginnings along: the weight may not move from the word to them."""
-    toxic = [(i, f"you muslim are stupid trash number w{i}") for i in range(60)]
-    clean = [(100 + i, f"the meeting of neighbours is on day w{i}") for i in range(120)]
+@pytest.mark.parametrize(("named", "other"), [("transgender", "straight"), ("muslims", "christians"), ("immigrants", "natives"), ("musulmans", "chrétiens"), ("frauen", "männer"), ("negros", "blancos")])
+def test_no_term_of_the_list_changes_a_score(spark, named, other):
+    """Toxic rows name one group and clean rows another; still all terms of any line score alike, and neutral mentions stay clean."""
+    toxic = [(i, f"you {named} are stupid trash number w{i}") for i in range(60)]
+    clean = [(100 + i, f"the {other} went to the market w{i} w{i * 7}") for i in range(120)]
     docs = spark.createDataFrame(toxic + clean, "doc_id long, text string")
     known = spark.createDataFrame([(i, 1) for i, _ in toxic] + [(i, 0) for i, _ in clean], "doc_id long, toxic int")
-    model = toxicity.fit_toxicity(docs, known, fairness=200.0)
+    model = toxicity.fit_toxicity(docs, known)
+    for line in toxicity.IDENTITY:
+        s = model.score([f"the {term} went to the market" for term in line.split()])
+        assert s.max() - s.min() < 0.05 and s.max() < 0.5, line
+    assert model.score([f"you {other} are stupid trash"])[0] > 0.5
+
+
+def test_swaps_equal_swapped_texts():
+    others = toxicity.partners()
+    texts = ["the women met Women and a womens club", "muslims and christians, a muslim", "no term here", "", "Black blacks blackbird", "frauen männer frauen"]
+    seen = 0
+    for text in texts:
+        before = set(toxicity.features([text])[1].tolist())
+        for term, other, out, come in toxicity.swapped_features(text, others):
+            after = set(toxicity.features([re.sub(rf"\b{term}\b", other, text.lower())])[1].tolist())
+            assert (before - after, after - before) == (out, come), (text, term, other)
+            seen += 1
+    assert seen > 20
+
+
+def test_toxicity_scores_equal_plain_loops(spark):
+    docs = smoke(spark, "documents")
+    model = toxicity.fit_toxicity(docs, smoke(spark, "labels"))
     weight = dict(zip(model.keys.tolist(), model.weight))
-    change = [sum(weight.get(h, 0) for h in toxicity.term_hashes(t)) for t in ("muslim", "jewish", "hindu")]
-    assert abs(change[0] - change[1]) < 0.1 and abs(change[0] - change[2]) < 0.1
+    texts = [r["text"] or "" for r in docs.orderBy(F.xxhash64("doc_id")).limit(60).collect()] + [t or "" for _, t, _ in ODD]
+    for text, score in zip(texts, model.score(texts)):
+        found = set()
+        for w in re.findall(r"[^\W_]+", text.lower()):
+            t = Texts([w])
+            found.add(int(t.span_hash(np.array([0]), np.array([len(w)]))[0]))
+            for k in toxicity.PREFIXES:
+                if len(w) > k:
+                    found.add(int(mix(t.span_hash(np.array([0]), np.array([k])) + np.uint64(k))[0]))
+        z = model.bias + sum(weight.get(h, 0.0) for h in found)
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
 
 
 # --- op2
