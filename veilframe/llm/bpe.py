@@ -221,7 +221,7 @@ def token_digests(spark: SparkSession, docs: DataFrame, bpe: ByteBpe) -> DataFra
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256, spanned): encode, decode and digest in one pass, so that ids
     never travel.
 
-    offsets_sha256 is of start and end in turn, as little-endian 64-bit numbers; spanned tells that the offsets begin at 0, end at
+    offsets_sha256 is of all starts, then all ends, as little-endian 32-bit numbers; spanned tells that the offsets begin at 0, end at
     the text's length, and leave nothing out between tokens.
     """
     bounded_batches(spark)
@@ -235,7 +235,7 @@ def token_digests(spark: SparkSession, docs: DataFrame, bpe: ByteBpe) -> DataFra
             rows = []
             texts = b["text"].tolist()
             for text, e in zip(texts, own.encode_all(texts)):
-                rows.append((len(e.ids), sha(e.said.encode()), sha(own.decode(e.ids.tolist())), sha(np.stack([e.starts, e.ends], 1).astype("<i8").tobytes()), spans(e, len(text) if isinstance(text, str) else 0)))
+                rows.append((len(e.ids), sha(e.said.encode()), sha(own.decode(e.ids.tolist())), sha(np.stack([e.starts, e.ends]).astype("<i4").tobytes()), spans(e, len(text) if isinstance(text, str) else 0)))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "spanned"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
