@@ -1,8 +1,12 @@
 """Near-duplicate documents by BagMinHash signatures of word-shingle multisets, banded and verified.
 
-Defined results: null and empty texts, and texts without words, are alone in their class. A text of one to
-four words has one shingle, all its words. Equal texts always share a class, repeated rows and repeated or null
-doc_ids included; a class takes the smallest doc_id in it as its id. Further columns are ignored.
+Texts that share a bucket of a band are candidates. First each bucket's texts are compared with one of them, its leader, which settles most
+buckets; what is linked makes classes. In buckets whose other texts are still of several classes, each text outside the largest class is compared with
+all texts of the bucket. All comparisons are exact and within buckets, so no two texts are compared for a chain of others
+between them, and every pair of a bucket is either compared or already in one class. Defined results: null and empty texts, and texts
+without words, are alone in their class. A text of one to four words has one shingle, all its words. Equal texts always share a class, repeated
+rows and repeated or null doc_ids included; a class takes the smallest doc_id in it as its id, and of equal doc_ids any one row is kept. Very long
+texts are signed and compared whole; an empty table gives no rows; further columns, of whatever names, are ignored, and kept by keep_one().
 """
 
 from __future__ import annotations
@@ -18,10 +22,10 @@ from .common import bounded_batches, connected_components, discard, materialize
 from .textkit import Texts, chunks, counted, mix, shingles
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
-#: Characters and texts of a block of a candidate cluster, at most; two blocks meet in one task.
+#: Characters and texts of a block of a bucket, at most; two blocks meet in one task.
 BLOCK_CHARS, BLOCK_TEXTS = 3_000_000, 1000
-#: Distinct texts to verify that may be broadcast as ids (about 70 bytes each); beyond it the join is shuffled.
-BROADCAST_IDS = 1_000_000
+#: Rows of ids and digests that may be broadcast (about 70 bytes each); beyond it the join is shuffled.
+BROADCAST_IDS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,13 +107,14 @@ def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"rid": part["rid"], "doc_id": part["doc_id"], "digest": part["digest"], "bands": list(text_bands(held)), "has_words": [bool(x.strip(" \t\n\x0b\x0c\r")) for x in held], "size": list(map(len, held))})
 
 
-def links_within(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, threshold: float) -> np.ndarray:
-    """Whether each two of n multisets (document, element, count) overlap by the threshold, exactly.
+def overlaps(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, left: np.ndarray) -> np.ndarray:
+    """Sum of minima of the multisets (document, element, count) of each of `left` with each of all n.
 
     Counts are written out one by one, which makes the minimum of two counts a product of zeros and ones; elements of one document
-    only can add to no overlap. The overlaps are then sums of matrix products over runs of elements.
+    only can add to no overlap. Common elements are summed as matrix products, rare ones pair by pair.
     """
-    total = np.bincount(doc, count, minlength=n)
+    row = np.full(n, -1)
+    row[left] = np.arange(len(left))
     _, inverse, many = np.unique(h, return_inverse=True, return_counts=True)
     ok = many[inverse] > 1
     doc, h, count = doc[ok], inverse[ok], count[ok]
@@ -118,15 +123,35 @@ def links_within(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, thre
     column = np.unique(mix(h.astype(np.uint64)) + copy.astype(np.uint64) * _STEP, return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     doc, column = doc[order], column[order]
-    both = np.zeros((n, n), np.float32)
+    size = np.bincount(column)
+    both = np.zeros((len(left), n), np.float32)
+    common = size >= max(16, n // 16)
+    number = np.cumsum(common) - 1
+    dense = common[column]
+    d, c = doc[dense], number[column[dense]]
     width = max(1, 8_000_000 // n)
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, [first, first + width])
+    for first in range(0, int(common.sum()), width):
+        lo, hi = np.searchsorted(c, [first, first + width])
         m = np.zeros((n, width), np.float32)
-        m[doc[lo:hi], column[lo:hi] - first] = 1
-        both += m @ m.T
-    both = both.astype(np.float64)
-    return both >= threshold * (total[:, None] + total[None, :] - both) - 1e-9
+        m[d[lo:hi], c[lo:hi] - first] = 1
+        both += m[left] @ m.T
+    begin = np.cumsum(size) - size
+    asked = np.flatnonzero(~dense & (row[doc] >= 0))
+    ends = np.cumsum(size[column[asked]])
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, 4_000_000):
+        part = asked[np.searchsorted(ends, lo, side="right") : np.searchsorted(ends, lo + 4_000_000, side="right")]
+        times = size[column[part]]
+        place = np.arange(int(times.sum())) + np.repeat(begin[column[part]] - (np.cumsum(times) - times), times)
+        both += np.bincount(np.repeat(row[doc[part]], times) * n + doc[place], minlength=len(left) * n).reshape(both.shape)
+    return both.astype(np.float64)
+
+
+def links_within(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, threshold: float, left: np.ndarray | None = None) -> np.ndarray:
+    """Whether each of `left` (by default all) and each of n multisets overlap by the threshold, exactly."""
+    left = np.arange(n) if left is None else left
+    total = np.bincount(doc, count, minlength=n)
+    both = overlaps(doc, h, count, n, left)
+    return both >= threshold * (total[left][:, None] + total[None, :] - both) - 1e-9
 
 
 def classes_of(linked: np.ndarray) -> np.ndarray:
@@ -140,26 +165,69 @@ def classes_of(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _verify(threshold: float, k: int):
+def _elements(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, count), texts and then shingles ascending."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for start, held in chunks(texts):
+        d, h, c = counted(*shingles(Texts(held), k))
+        found.append((d + start, h, c))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _edges(a: list, b: list) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+
+
+def _with_leader(threshold: float, k: int):
+    """Texts against their leader: the edges (leader, text) of those that overlap enough."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cluster", "node"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["leader", "node"], kind="stable").reset_index(drop=True)
+        doc, h, c = _elements(pdf["text"].tolist(), k)
+        leader, node = pdf["leader"].to_numpy(), pdf["node"].to_numpy()
+        total = np.bincount(doc, c, minlength=len(pdf))
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(leader) != 0, [True]]))
+        edge = np.searchsorted(doc, np.arange(len(pdf) + 1))
         a, b = [], []
-        elements: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for start, held in chunks(pdf["text"].tolist()):
-            d, h, c = counted(*shingles(Texts(held), k))
-            elements.append((d + start, h, c))
-        doc, h, c = (np.concatenate(x) for x in zip(*elements))
-        node = pdf["node"].to_numpy()
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(pdf["cluster"].to_numpy()) != 0, [True]]))
-        edge = np.searchsorted(doc, cut)
-        for i in range(len(cut) - 1):
-            lo, hi, n = edge[i], edge[i + 1], cut[i + 1] - cut[i]
-            if n > 1:
-                label = classes_of(links_within(doc[lo:hi] - cut[i], h[lo:hi], c[lo:hi], n, threshold))
-                at = np.flatnonzero(label != np.arange(n))
-                a.append(node[cut[i] + at])
-                b.append(node[cut[i] + label[at]])
-        return pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+        for lo, hi in zip(cut, cut[1:]):
+            first = lo + int(np.flatnonzero(node[lo:hi] == leader[lo])[0])
+            own_h, own_c = h[edge[first] : edge[first + 1]], c[edge[first] : edge[first + 1]]
+            part = slice(edge[lo], edge[hi])
+            at = np.minimum(np.searchsorted(own_h, h[part]), len(own_h) - 1)
+            both = np.bincount(doc[part] - lo, np.where(own_h[at] == h[part], np.minimum(c[part], own_c[at]), 0), minlength=hi - lo)
+            ok = (both >= threshold * (total[lo:hi] + total[first] - both) - 1e-9) & (node[lo:hi] != leader[lo])
+            a.append(leader[lo:hi][ok])
+            b.append(node[lo:hi][ok])
+        return _edges(a, b)
+
+    return run
+
+
+def _within(threshold: float, k: int):
+    """The texts marked `asked` against all texts of their bucket in the task: a star of each class found."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # A text may stand in a task for several buckets, and as asked and as one of all.
+        pdf = pdf.sort_values(["key", "node", "asked"]).drop_duplicates(["key", "node"], keep="last")
+        nodes, which = np.unique(pdf["node"].to_numpy(), return_inverse=True)
+        texts = pdf["text"].to_numpy()[np.unique(which, return_index=True)[1]]
+        doc, h, c = _elements(texts.tolist(), k)
+        edge = np.searchsorted(doc, np.arange(len(nodes) + 1))
+        key, asked = pdf["key"].to_numpy(), pdf["asked"].to_numpy(bool)
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        a, b = [], []
+        for lo, hi in zip(cut, cut[1:]):
+            own, left = which[lo:hi], np.flatnonzero(asked[lo:hi])
+            size = edge[own + 1] - edge[own]
+            place = np.arange(int(size.sum())) + np.repeat(edge[own] - (np.cumsum(size) - size), size)
+            hit = links_within(np.repeat(np.arange(hi - lo), size), h[place], c[place], hi - lo, threshold, left)
+            linked = np.zeros((hi - lo, hi - lo), bool)
+            linked[left] = hit
+            label = classes_of(linked | linked.T)
+            at = np.flatnonzero(label != np.arange(hi - lo))
+            a.append(nodes[own[at]])
+            b.append(nodes[own[label[at]]])
+        return _edges(a, b)
 
     return run
 
@@ -167,10 +235,8 @@ def _verify(threshold: float, k: int):
 def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """(rid, doc_id, digest, component_id, n_copies, kept) with one row for each input row.
 
-    Exact copies collapse first. Texts that share a band bucket, directly or through others, are a candidate cluster; all its texts
-    are compared exactly, in pairs of blocks of bounded size, each pair of blocks one task, which returns a star of each class it
-    finds and never a pair. The stars' components are the classes. So no candidate is dropped and a bucket's rows are only as many as its
-    texts.
+    Exact copies collapse first. A hot bucket is cut into blocks, whichever way its texts are compared; tasks return stars and never
+    pairs, so no candidate is dropped and nothing grows with the square of a group but the comparisons of texts that no leader settled.
     """
     bounded_batches(docs.sparkSession)
     src = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -180,34 +246,87 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, k: int =
     nodes = materialize(seen.where("has_words").groupBy("digest").agg(F.min("rid").alias("node")), "nodes")
     reps = seen.where("has_words").join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
     band = reps.select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
-    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    bucket = materialize(band.join(shared, "key"), "buckets")
-    least = bucket.groupBy("key").agg(F.min("node").alias("a"))
-    cluster = connected_components(bucket.join(least, "key").select("a", F.col("node").alias("b")).distinct(), "clusters").withColumnRenamed("component", "cluster")
-    component = connected_components(_links(src, seen, cluster, threshold, k), "classes")
-    of = nodes.join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    # A bucket's leader is its first text; buckets of one text end here.
+    lead = band.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
+    bucket = materialize(band.join(lead, "key"), "buckets")
+    texts = _texts(src, seen, bucket)
+    stars = bucket.where("node <> leader").select("leader", "node").distinct()
+    first = materialize(_star_edges(stars, texts, threshold, k), "links")
+    class_of = connected_components(first, "classes")
+    second = materialize(_bucket_edges(bucket, class_of, texts, threshold, k), "links")
+    # The classes that the second comparison joins.
+    at = lambda end: class_of.select(F.col("node").alias(end), F.col("component").alias(f"class_{end}"))
+    between = second.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
+    joined = connected_components(between, "classes")
+    of_class = joined.select(F.col("node").alias("own"), F.col("component").alias("whole"))
+    of = nodes.join(class_of, "node", "left").withColumn("own", F.coalesce("component", "node")).join(of_class, "own", "left").select("digest", F.coalesce("whole", "own").alias("component"))
     member = seen.select("rid", "doc_id", "digest", "has_words").join(of, "digest", "left").withColumn("component", F.coalesce("component", F.col("rid")))
-    first = member.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min_by("rid", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("keep"), F.count(F.lit(1)).alias("n_copies"))
-    out = member.join(first, "component").select("rid", "doc_id", "digest", "component_id", "n_copies", (F.col("rid") == F.col("keep")).alias("kept"))
-    discard(bucket)
+    member = materialize(member.select("rid", "doc_id", "digest", "component"), "members")
+    # Most rows are a class of their own and need no join; the others' classes are few rows, or a join whose skew can be split.
+    several = member.groupBy("component").agg(F.min("doc_id").alias("least"), F.min_by("rid", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = materialize(several, "several")
+    side = F.broadcast(several) if several.count() <= BROADCAST_IDS else several
+    out = member.join(side, "component", "left").select("rid", "doc_id", "digest", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n", F.lit(1)).alias("n_copies"), (F.col("rid") == F.coalesce("keep", "rid")).alias("kept"))
+    out = materialize(out, "near")
+    for done in (seen, nodes, bucket, texts, first, class_of, second, joined, member, several):
+        discard(done)
+    return out
+
+
+def _texts(src: DataFrame, seen: DataFrame, bucket: DataFrame) -> DataFrame:
+    """(node, text, size) of the candidates, read once more from the source and kept, compressed."""
+    involved = seen.join(bucket.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi")
+    involved = materialize(involved.select(F.col("rid").alias("node"), F.col("doc_id").alias("i_doc"), F.col("digest").alias("i_digest"), "size"), "involved")
+    side = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
+    found = src.join(side, F.col("doc_id").eqNullSafe(F.col("i_doc")) & (F.col("digest") == F.col("i_digest"))).select("node", "text", "size")
+    out = materialize(found.dropDuplicates(["node"]), "texts", codec="zstd")
+    discard(involved)
     return out
 
 
-def _links(src: DataFrame, seen: DataFrame, cluster: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(a, b): stars of the classes found in every pair of blocks of every cluster."""
-    involved = materialize(cluster.join(seen.select(F.col("rid").alias("node"), "doc_id", "digest", "size"), "node"), "involved")
-    per = involved.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_CHARS), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int").alias("blocks"))
-    total = involved.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).first()
-    # Clusters of one block share tasks: as many packs as their characters and texts fill.
-    packs = max(1, -(-2 * (total["chars"] or 0) // BLOCK_CHARS), -(-2 * total["n"] // BLOCK_TEXTS))
-    placed = involved.join(per, "cluster").select(F.col("doc_id").alias("i_doc"), F.col("digest").alias("i_digest"), "node", "cluster", "blocks")
-    side = F.broadcast(placed) if total["n"] <= BROADCAST_IDS else placed
-    rows = src.join(side, F.col("doc_id").eqNullSafe(F.col("i_doc")) & (F.col("digest") == F.col("i_digest"))).select("node", "cluster", "blocks", "text").dropDuplicates(["node"])
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("cluster").alias("g"), F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    alone = F.array(F.struct(F.lit(-1).cast("long").alias("g"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("int").alias("i"), F.lit(0).alias("j")))
-    tasks = rows.withColumn("block", block).select("node", "cluster", "text", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(other)).alias("t")).select("t.*", "node", "cluster", "text")
-    return materialize(tasks.groupBy("g", "i", "j").applyInPandas(_verify(threshold, k), "a long, b long"), "links")
+def _blocks(n: str = "n", chars: str = "chars"):
+    return F.greatest(F.ceil(F.col(chars) / BLOCK_CHARS), F.ceil(F.col(n) / BLOCK_TEXTS)).cast("int")
+
+
+def _packs(total) -> int:
+    """Tasks for the groups of one block, as many as their characters and texts fill."""
+    return max(1, -(-2 * (total["chars"] or 0) // BLOCK_CHARS), -(-2 * (total["n"] or 0) // BLOCK_TEXTS))
+
+
+def _star_edges(stars: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b): the leaders' links. A hot leader's texts are cut into blocks; only its own text goes to each."""
+    size = texts.select("node", "size")
+    stars = materialize(stars.join(size, "node"), "stars")
+    per = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).select("leader", _blocks().alias("blocks"), "n", "chars")
+    per = materialize(per, "leaders")
+    packs = _packs(per.agg((F.sum("n") + F.count(F.lit(1))).alias("n"), (2 * F.sum("chars")).alias("chars")).first())
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("leader"), F.lit(packs)).cast("int"))
+    own = per.select("leader", F.col("leader").alias("node"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    others = stars.join(per.select("leader", "blocks"), "leader").select("leader", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    tasks = own.unionByName(others).select("leader", "node", F.when(F.col("blocks") == 1, F.lit(-1).cast("long")).otherwise(F.col("leader")).alias("g"), F.coalesce(pack, "block").alias("i"))
+    return tasks.join(texts.select("node", "text"), "node").groupBy("g", "i").applyInPandas(_with_leader(threshold, k), "a long, b long")
+
+
+def _bucket_edges(bucket: DataFrame, class_of: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b): links that the leaders did not settle. Buckets of the same texts are compared once."""
+    rest = bucket.where("node <> leader").select("key", "node").join(class_of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("cls"))
+    rest = materialize(rest, "rest")
+    sets = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
+    keys = sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    still = materialize(rest.join(keys, "key", "left_semi").join(texts.select("node", "size"), "node"), "still")
+    by_class = still.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    per = by_class.groupBy("key").agg(F.max_by("cls", F.struct("n", -F.col("cls"))).alias("largest"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.max("n").alias("most"), F.max_by("chars", F.struct("n", -F.col("cls"))).alias("most_chars"))
+    per = materialize(per.select("key", "largest", _blocks().alias("blocks"), F.greatest(F.ceil((F.col("chars") - F.col("most_chars")) / BLOCK_CHARS), F.ceil((F.col("n") - F.col("most")) / BLOCK_TEXTS)).cast("int").alias("asking"), "n", "chars"), "open")
+    packs = _packs(per.where("blocks = 1").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).first())
+    rows = still.join(per.select("key", "largest", "blocks", "asking"), "key").withColumn("asked", F.col("cls") != F.col("largest"))
+    draw = F.xxhash64("node")
+    alone = F.array(F.struct(F.lit(-1).cast("long").alias("g"), F.pmod(F.xxhash64("key"), F.lit(packs)).cast("int").alias("i"), F.lit(0).alias("j"), F.col("asked").alias("as_asked")))
+    # As one of all, a text meets every block of those asked; as one asked, every block of all.
+    of_all = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: F.struct(F.col("key").alias("g"), i.alias("i"), F.pmod(draw, F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("as_asked")))
+    of_asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("key").alias("g"), F.pmod(draw, F.col("asking")).cast("int").alias("i"), j.alias("j"), F.lit(True).alias("as_asked")))
+    places = F.when(F.col("blocks") == 1, alone).when(F.col("asked"), F.concat(of_all, of_asked)).otherwise(of_all)
+    tasks = rows.select("key", "node", F.explode(places).alias("t")).select("t.g", "t.i", "t.j", "key", "node", F.col("t.as_asked").alias("asked"))
+    return tasks.join(texts.select("node", "text"), "node").groupBy("g", "i", "j").applyInPandas(_within(threshold, k), "a long, b long")
 
 
 def keep_one(docs: DataFrame, *, threshold: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
@@ -215,7 +334,7 @@ def keep_one(docs: DataFrame, *, threshold: float = SIMILARITY, k: int = SHINGLE
 
     Rows to drop are told by doc_id and digest; where one of several equal rows stays, repeats of it are dropped afterwards.
     """
-    groups = materialize(near_duplicates(docs, threshold=threshold, k=k).select("doc_id", "digest", "kept"), "kept")
+    groups = near_duplicates(docs, threshold=threshold, k=k).select("doc_id", "digest", "kept")
     per = groups.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
     drop = per.where("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
     drop = F.broadcast(drop) if groups.where("not kept").count() <= BROADCAST_IDS else drop

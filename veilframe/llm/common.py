@@ -154,4 +154,6 @@ def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out._scratch = now._scratch
+    return out
