@@ -1,19 +1,24 @@
 """Embedding near-duplicates by a robust-pruned flat graph on overlapping cluster shards.
 
-Vectors are compared only within a label (null labels with nothing) and a length. Defined results: null, empty and zero vectors, and vectors with
-null or non-finite components, link with nothing and are their own component; equal vectors collapse into one node with a
-multiplicity and always link; repeated or null vec_ids are rows of their own; further columns are ignored.
-
-Nodes that share a cluster are all compared there, and each pair is counted in the first cluster that both share. A pair
-without one needs OVERLAP clusters on either side that lie near enough to the border; a label of fewer than 2 * OVERLAP
-clusters has none. Elsewhere a node visits the nearest such clusters, and in rounds those that its graph's edges and the
-near nodes found lead to; these pairs are written out and counted once for both ends.
+Each vector goes to the shards of its OVERLAP nearest clusters. Every shard builds a robust-pruned graph; the adjacency lists of all shards are
+united; and in every shard a greedy search runs for each vector from the shard's medoids (and from the vector's own place in the
+graph), then widens to all that the graph reaches within the links' radius and a margin. What it finds is verified in double precision.
+A pair is counted in the first cluster that both share, whichever end found it, so counts are equal at both ends. A pair without
+a common cluster needs OVERLAP clusters on either side that lie near enough to the border; a label of fewer than 2 * OVERLAP clusters has
+none. Elsewhere vectors visit the nearest such clusters, and in rounds those that edges and near vectors lead to, and search
+their graphs; these pairs are written out and counted once for both ends. Recall is audited by audit_recall().
+
+Vectors are compared only within a label (null labels with nothing) and a length. Defined results: null, empty and zero vectors, and vectors
+with null or non-finite components, link with nothing and are their own component; equal vectors collapse into one node with a
+multiplicity and always link; repeated or null vec_ids are rows of their own; an empty table gives no rows; further columns, of whatever
+names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,29 +28,42 @@ from pyspark.sql import functions as F
 from .common import connected_components, discard, materialize
 
 SIMILARITY = 0.98
-#: Nodes that the centres are fitted on, at most; nodes a cluster should hold; clusters of a node; nodes of a shard's block, at most.
-FIT_ROWS, CLUSTER_NODES, OVERLAP, BLOCK = 20_000, 1500, 3, 3000
-#: Graph: nearest and random candidates of a node, edges kept, pruning factor; search: its batch, and how far below the radius it expands.
-NEAR, FAR, DEGREE, ALPHA, BATCH, SLACK = 32, 8, 16, 1.2, 256, 0.03
+#: Nodes and bytes that the first centres are fitted on, at most, and such centres of a label; sampled nodes for each further centre; bytes of
+#: all centres, at most (they go to every task).
+FIT_ROWS, FIT_BYTES, FIRST, PER_CENTRE, CENTRE_BYTES = 20_000, 64_000_000, 256, 16, 200_000_000
+#: Nodes a cluster should hold; clusters of a node; nodes of a shard's block, at most.
+CLUSTER_NODES, OVERLAP, BLOCK = 1500, 3, 6000
+#: Graph: nearest candidates of a node, nodes drawn for others, edges kept to either, pruning factor.
+NEAR, FAR, DEGREE, AWAY, ALPHA = 32, 128, 16, 8, 1.2
+#: Search: vectors at a time, medoids to start from, width of the greedy beam, and how far below the radius it widens.
+BATCH, ENTRIES, BEAM, SLACK = 256, 8, 8, 0.03
 #: Clusters beyond its own that a node visits unled, at most, and rounds of visits that are led to.
 SURE, MAX_ROUNDS = 8, 60
 
 
+def _units(values: list) -> list[np.ndarray | None]:
+    """Vectors in double precision; None for a null one, null components as NaN."""
+    return [None if v is None else np.asarray(v, dtype=np.float64) for v in values]
+
+
 def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        key, unit = [], []
-        for v in b["embedding"]:
-            x = np.array([np.nan if y is None else y for y in v] if v is not None else [], np.float64)
-            top = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0.0
-            if top > 0:
-                y = x / top
-                y /= np.sqrt((y * y).sum())
-                key.append(f"{len(x)}:{hashlib.md5((x + 0.0).tobytes()).hexdigest()}")
-                unit.append(y.tobytes())
-            else:
-                key.append(None)
-                unit.append(None)
-        yield pd.DataFrame({"rid": b["rid"], "vec_id": b["vec_id"], "grp": [f"{g}:{k.split(':')[0]}" if k and g is not None and g == g else None for k, g in zip(key, b["label"])], "key": key, "unit": unit})
+        held = _units(b["embedding"].tolist())
+        size = np.array([0 if x is None else len(x) for x in held])
+        key: list[str | None] = [None] * len(b)
+        unit: list[bytes | None] = [None] * len(b)
+        for n in np.unique(size[size > 0]):
+            at = np.flatnonzero(size == n)
+            x = np.stack([held[i] for i in at]) + 0.0
+            top = np.abs(x).max(1)
+            ok = np.isfinite(x).all(1) & (top > 0)
+            at, x = at[ok], x[ok]
+            y = x / top[ok][:, None]
+            y /= np.sqrt((y * y).sum(1, keepdims=True))
+            for i, a, u in zip(at, x, y):
+                key[i], unit[i] = f"{n}:{hashlib.md5(a.tobytes()).hexdigest()}", u.tobytes()
+        grp = [f"{g}:{n}" if k and g is not None and g == g else None for k, g, n in zip(key, b["label"], size)]
+        yield pd.DataFrame({"rid": b["rid"], "vec_id": b["vec_id"], "grp": grp, "key": key, "unit": unit})
 
 
 def _matrix(rows: pd.Series, dtype=np.float64) -> np.ndarray:
@@ -87,8 +105,20 @@ def robust_prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, degree: int =
     return out
 
 
+def candidates(sim: np.ndarray, near: int, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of each row, and of FAR drawn nodes those whose ranks rise by half each (the nearest, the next, ...).
+
+    Without the second, whose distances are of all scales, the edges of a dense crowd would all stay within it, however near the next
+    crowd is.
+    """
+    drawn = r.permutation(sim.shape[1])[:FAR]
+    ranks = np.unique((1.5 ** np.arange(40)).astype(np.int64) - 1)
+    order = np.argsort(-sim[:, drawn], axis=1)[:, ranks[ranks < len(drawn)]]
+    return np.argpartition(-sim, near - 1, axis=1)[:, :near], drawn[order]
+
+
 def build_graph(x: np.ndarray, seed: int = 4) -> list[np.ndarray]:
-    """Adjacency of unit rows x: robust-pruned nearest and random candidates, reverse edges, and all reachable from the medoid."""
+    """Adjacency of unit rows x: robust-pruned candidates near and far, reverse edges, and all reachable from the medoid."""
     n = len(x)
     if n == 1:
         return [np.zeros(0, np.int64)]
@@ -100,8 +130,8 @@ def build_graph(x: np.ndarray, seed: int = 4) -> list[np.ndarray]:
         own = np.arange(at, min(n, at + 512))
         sim = f[own] @ f.T
         sim[np.arange(len(own)), own] = -2
-        top = np.argpartition(-sim, near - 1, axis=1)[:, :near]
-        kept = robust_prune(f, own, np.concatenate([top, r.integers(0, n, (len(own), FAR))], 1))
+        close, far = candidates(sim, near, r)
+        kept = np.concatenate([robust_prune(f, own, close), robust_prune(f, own, far, AWAY)], 1)
         a, b = np.nonzero(kept >= 0)
         src.append(own[a])
         dst.append(kept[a, b])
@@ -131,6 +161,12 @@ def medoid(x: np.ndarray) -> int:
     return int((x @ x.mean(0)).argmax())
 
 
+def medoids(x: np.ndarray, most: int = ENTRIES) -> np.ndarray:
+    """Entry nodes of a graph: the medoid, and those of some parts of its nodes."""
+    c = spherical_kmeans(x, min(most, 1 + len(x) // 100), rounds=3)
+    return np.unique(np.append((x @ c.T).argmax(0), medoid(x)))
+
+
 def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The lowest cluster in both lists of each row (-1 is padding), or -1."""
     big = np.iinfo(np.int64).max
@@ -191,39 +227,150 @@ def _one_hot(lists: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _compare(threshold: float, centres: dict[str, np.ndarray]):
-    """All pairs of two blocks of a shard (or of one with itself): links counted here, a node each hangs with, clusters to visit."""
+class Adjacency(NamedTuple):
+    """Lists of neighbours one behind the other: those of node i are ends[first[i] : first[i + 1]]."""
+
+    first: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, lists: list[np.ndarray]) -> Adjacency:
+        return cls(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64))
+
+    @classmethod
+    def among(cls, node: np.ndarray, lists: pd.Series) -> Adjacency:
+        """From lists of node ids, by place among these nodes, which ascend; edges to others are left out."""
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        ends = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in lists]])
+        own = np.repeat(np.arange(len(node)), size)
+        at = np.minimum(np.searchsorted(node, ends), len(node) - 1)
+        there = node[at] == ends
+        return cls(np.concatenate([[0], np.cumsum(np.bincount(own[there], minlength=len(node)))]), at[there])
+
+    def pairs(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in nodes, neighbour) of all neighbours of the nodes."""
+        size = self.first[nodes + 1] - self.first[nodes]
+        place = np.arange(int(size.sum())) + np.repeat(self.first[nodes] - (np.cumsum(size) - size), size)
+        return np.repeat(np.arange(len(nodes)), size), self.ends[place]
+
+    def rows(self, nodes: np.ndarray) -> np.ndarray:
+        """The nodes' neighbours as rows, -1 where they end."""
+        size = self.first[nodes + 1] - self.first[nodes]
+        out = np.full((len(nodes), max(1, int(size.max(initial=0)))), -1, np.int64)
+        out[np.arange(out.shape[1]) < size[:, None]] = self.pairs(nodes)[1]
+        return out
+
+
+def _similarity(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, x.dtype), *[np.einsum("ij,ij->i", q[rows[i : i + 65_536]], x[cols[i : i + 65_536]]) for i in range(0, len(rows), 65_536)]])
+
+
+def range_search(q: np.ndarray, x: np.ndarray, adjacency: Adjacency, entries: np.ndarray, radius: float, beam: int = BEAM, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of every node of the graph that the searches come to within the radius (a cosine) and a margin of slack.
+
+    entries: nodes that each query's search starts from, -1 for none. A greedy search with a beam goes towards the query; from all that it met
+    in the margin the search then widens, ring by ring, until no ring holds a new node in the margin.
+    """
+    q, x = q.astype(np.float32), x.astype(np.float32)
+    n, m = len(q), len(x)
+    sims = np.full((n, m), -2, np.float32)
+
+    def compare(rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Similarities of a row's nodes, which are noted; -2 where there is no node."""
+        s = np.where(nodes >= 0, np.einsum("bd,bkd->bk", q[rows], x[nodes]), np.float32(-2))
+        there = nodes >= 0
+        sims.ravel()[(nodes + rows[:, None] * m)[there]] = np.maximum(s[there], -1)
+        return s
+
+    active = np.arange(n)
+    pool = np.full((n, max(beam, entries.shape[1])), -1, np.int64)
+    pool[:, : entries.shape[1]] = entries
+    again = (pool[:, :, None] == pool[:, None, :]) & (np.arange(pool.shape[1])[:, None] > np.arange(pool.shape[1]))
+    pool[again.any(2)] = -1
+    score = compare(active, pool)
+    top = np.argsort(-score, axis=1, kind="stable")[:, :beam]
+    pool, score = np.take_along_axis(pool, top, 1), np.take_along_axis(score, top, 1)
+    done = pool < 0
+    while len(active):
+        ahead = np.where(done[active], np.float32(-2), score[active])
+        best = ahead.argmax(1)
+        go = ahead[np.arange(len(active)), best] > -2
+        active, best = active[go], best[go]
+        done[active, best] = True
+        near = adjacency.rows(pool[active, best])
+        s = compare(active, near)
+        s[(near[:, :, None] == pool[active][:, None, :]).any(2)] = -2
+        # The pool stands first, so that ties change nothing and every search ends.
+        ids, marks = np.concatenate([pool[active], near], 1), np.concatenate([done[active], s <= -2], 1)
+        s = np.concatenate([score[active], s], 1)
+        top = np.argsort(-s, axis=1, kind="stable")[:, :beam]
+        pool[active], score[active], done[active] = (np.take_along_axis(v, top, 1) for v in (ids, s, marks))
+    # Pairs are numbered query * m + node.
+    flat = sims.ravel()
+    ring = np.flatnonzero(flat >= radius - slack)
+    while len(ring):
+        new = np.zeros(n * m, bool)
+        for i in range(0, len(ring), 65_536):
+            part = ring[i : i + 65_536]
+            own, near = adjacency.pairs(part % m)
+            new[(part // m * m)[own] + near] = True
+        key = np.flatnonzero(new)
+        key = key[flat[key] == -2]
+        flat[key] = np.maximum(_similarity(q, x, key // m, key % m), -1)
+        ring = key[flat[key] >= radius - slack]
+    return np.divmod(np.flatnonzero(flat >= radius - slack), m)
+
+
+def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's graph: each node's neighbours by id."""
+    pdf = pdf.sort_values("node")
+    node = pdf["node"].to_numpy()
+    return pd.DataFrame({"node": node, "near": [node[a] for a in build_graph(_matrix(pdf["unit"]))]})
+
+
+def _search(threshold: float, centres: dict[str, np.ndarray]):
+    """The nodes of a block searched for in another's graph and the other way round (or a block in its own): links counted here, a
+    node each hangs with, clusters to visit."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, cluster, c = pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["cluster"].iloc[0], centres.get(pdf["grp"].iloc[0])
-        pdf = pd.concat([pdf[pdf["block"] == b].sort_values("node") for b in sorted({i, j})])
+        parts = [pdf[pdf["block"] == b].sort_values("node") for b in sorted({i, j})]
+        pdf = pd.concat(parts)
+        first = [0, len(parts[0])][: len(parts)]
         node, mult, lists, x = pdf["node"].to_numpy(), pdf["mult"].to_numpy(), _lists(pdf["clusters"]), _matrix(pdf["unit"])
-        n, rows = len(node), int((pdf["block"] == i).sum())
-        cols = 0 if i == j else rows
+        n = len(node)
         may = open_clusters(x, c, lists, threshold) if c is not None else np.zeros((n, 1), bool)
         far = may.any()
         visit = np.zeros(may.shape, bool)
         has = _one_hot(lists, len(c)) if far else None
         links, hit = np.zeros(n, np.int64), np.zeros((n, n), bool)
-        for lo in range(0, rows, BATCH):
-            own = np.arange(lo, min(rows, lo + BATCH))
-            s = x[own] @ x[cols:].T
-            if far:
-                near = (s >= threshold - SLACK).astype(np.float32)
-                visit[own] |= near @ has[cols:] > 0
-                visit[cols:] |= near.T @ has[own] > 0
-            a, b = np.nonzero(s >= threshold)
-            a, b = own[a], cols + b
-            a, b = a[a < b], b[a < b]
-            hit[a, b] = hit[b, a] = True
-            here = first_common(lists[a], lists[b]) == cluster
-            a, b = a[here], b[here]
-            np.add.at(links, a, mult[b])
-            np.add.at(links, b, mult[a])
+        for base, part in zip(first, parts):
+            members = np.arange(base, base + len(part))
+            own = x[members]
+            adjacency, centre = Adjacency.among(node[members], part["near"]), medoids(own)
+            asking = members if i == j else np.setdiff1d(np.arange(n), members)
+            for lo in range(0, len(asking), BATCH):
+                ask = asking[lo : lo + BATCH]
+                entries = np.concatenate([np.tile(centre, (len(ask), 1)), (ask - base)[:, None] if i == j else np.full((len(ask), 1), -1)], 1)
+                a, b = range_search(x[ask], own, adjacency, entries, threshold, beam=BEAM if i != j else BEAM // 2)
+                if far:
+                    near = np.zeros((len(ask), len(own)), np.float32)
+                    near[a, b] = 1
+                    visit[ask] |= near @ has[members] > 0
+                    visit[members] |= near.T @ has[ask] > 0
+                a, b = ask[a], members[b]
+                sure = (_similarity(x, x, a, b) >= threshold) & (a != b)
+                hit[a[sure], b[sure]] = hit[b[sure], a[sure]] = True
+            if far and i == j:
+                for r in range(len(own)):
+                    visit[base + r] |= has[base + adjacency.ends[adjacency.first[r] : adjacency.first[r + 1]]].any(0)
         if far and i == j:
             visit |= _surely(x, c, may, lists.shape[1])
-            for r, near in enumerate(build_graph(x)):
-                visit[r] |= has[near].any(0)
+        a, b = np.nonzero(np.triu(hit))
+        here = first_common(lists[a], lists[b]) == cluster
+        a, b = a[here], b[here]
+        np.add.at(links, a, mult[b])
+        np.add.at(links, b, mult[a])
         visit &= may
         return pd.DataFrame({"node": node, "links": links, "root": node[_classes(hit)], "visits": [np.flatnonzero(v) for v in visit]})
 
@@ -231,24 +378,28 @@ def _compare(threshold: float, centres: dict[str, np.ndarray]):
 
 
 def _visit(threshold: float, centres: dict[str, np.ndarray]):
-    """Visitors against a block's members: those linked that share no cluster, and the clusters that near members lead to."""
+    """Visitors search a block's graph from its medoid: those linked that share no cluster, and the clusters that near members lead to."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        member, query = pdf[pdf["member"]], pdf[~pdf["member"]]
+        member, query = pdf[pdf["member"]].sort_values("node"), pdf[~pdf["member"]]
         c = centres[pdf["grp"].iloc[0]]
         if not len(member) or not len(query):
             return pd.DataFrame({"node": [], "far": [], "visits": []})
         x, lists, ids = _matrix(member["unit"]), _lists(member["clusters"]), member["node"].to_numpy()
+        adjacency, centre = Adjacency.among(ids, member["near"]), medoids(x)
         q, own = _matrix(query["unit"]), _lists(query["clusters"])
         has, may, far, visits = _one_hot(lists, len(c)), open_clusters(q, c, own, threshold), [], []
         for lo in range(0, len(q), BATCH):
-            s = q[lo : lo + BATCH] @ x.T
-            led = ((s >= threshold - SLACK).astype(np.float32) @ has > 0) & may[lo : lo + BATCH]
-            visits += [np.flatnonzero(v) for v in led]
-            a, b = np.nonzero(s >= threshold)
+            ask = q[lo : lo + BATCH]
+            a, b = range_search(ask, x, adjacency, np.tile(centre, (len(ask), 1)), threshold)
+            near = np.zeros((len(ask), len(x)), np.float32)
+            near[a, b] = 1
+            visits += [np.flatnonzero(v) for v in (near @ has > 0) & may[lo : lo + BATCH]]
+            sure = _similarity(ask, x, a, b) >= threshold
+            a, b = a[sure], b[sure]
             apart = first_common(own[lo + a], lists[b]) < 0
             a, b = a[apart], b[apart]
-            far += np.split(ids[b], np.searchsorted(a, np.arange(1, len(s))))
+            far += np.split(ids[b], np.searchsorted(a, np.arange(1, len(ask))))
         return pd.DataFrame({"node": query["node"].to_numpy(), "far": far, "visits": visits})
 
     return run
@@ -275,18 +426,55 @@ def link_embeddings(vectors: DataFrame, *, threshold: float = SIMILARITY) -> Dat
     return out
 
 
-def _search_shards(spark, unit: DataFrame, node: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, root): of every node in every shard, the rows linked there that no earlier shard counts, and a node it hangs with."""
-    sample = unit.select("grp", "unit", "node").orderBy(F.xxhash64("node"), "node").limit(FIT_ROWS).collect()
-    sizes = {r["grp"]: r["n"] for r in node.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "grp").limit(FIT_ROWS).collect()}
+def fit_centres(unit: DataFrame, node: DataFrame) -> dict[str, np.ndarray]:
+    """Unit centres of the clusters of every group, about one for CLUSTER_NODES nodes.
+
+    The first centres come from a bounded sample on the driver. A group that needs more gets them from tasks: each first centre's own
+    sample is clustered by itself. All centres together are bounded by CENTRE_BYTES; beyond that shards grow and are cut into blocks.
+    """
+    wide = unit.agg(F.max(F.octet_length("unit"))).first()[0] or 8
+    rows = max(64, min(FIT_ROWS, FIT_BYTES // wide))
+    sample = unit.select("grp", "unit", "node").orderBy(F.xxhash64("node"), "node").limit(rows).collect()
     by: dict[str, list] = {}
     for r in sample:
         by.setdefault(r["grp"], []).append(r["unit"])
-    centres = {}
-    for g, u in by.items():
-        x = _matrix(pd.Series(u))
-        centres[g] = spherical_kmeans(x, int(max(1, min(len(x) // 8, -(-sizes.get(g, 1) // CLUSTER_NODES)))))
+    # Groups without a node in the sample are small beside the others; they stay whole.
+    sizes = {r["grp"]: r["n"] for r in node.where(F.col("grp").isin(list(by))).groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()} if by else {}
+    centres, more = {}, []
+    for g, u in sorted(by.items()):
+        x, want = _matrix(pd.Series(u)), -(-sizes[g] // CLUSTER_NODES)
+        centres[g] = spherical_kmeans(x, int(max(1, min(len(x) // 8, want, FIRST))))
+        if want > 2 * len(centres[g]):
+            more.append(g)
+    total = sum(sizes[g] for g in more)
+    if not total:
+        return centres
+    # PER_CENTRE sampled nodes for each centre that is wanted, and never more centres than fit.
+    share = min(1.0, PER_CENTRE / CLUSTER_NODES, PER_CENTRE * (CENTRE_BYTES // (2 * wide)) / total)
+    first = {g: centres[g] for g in more}
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, part in b.groupby("grp"):
+                yield pd.DataFrame({"grp": g, "cell": (_matrix(part["unit"]) @ first[g].T).argmax(1), "unit": part["unit"]})
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(pdf["unit"])
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "centre": [c.tobytes() for c in spherical_kmeans(x, max(1, len(x) // PER_CENTRE))]})
+
+    draw = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 30)) < int(share * (1 << 30))
+    cells = unit.where(F.col("grp").isin(more)).where(draw).select("grp", "unit").mapInPandas(near, "grp string, cell long, unit binary")
+    found = cells.groupBy("grp", "cell").applyInPandas(split, "grp string, centre binary").collect()
+    for g in more:
+        own = sorted(r["centre"] for r in found if r["grp"] == g)
+        if own:
+            centres[g] = _matrix(pd.Series(own))
+    return centres
 
+
+def _search_shards(spark, unit: DataFrame, node: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, root): of every node in every shard, the rows linked there that no earlier shard counts, and a node it hangs with."""
+    centres = fit_centres(unit, node)
     wide, block_nodes = OVERLAP, BLOCK
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,13 +486,22 @@ def _search_shards(spark, unit: DataFrame, node: DataFrame, threshold: float) ->
                 yield pd.DataFrame({"node": part["node"], "grp": g, "mult": part["mult"], "unit": part["unit"], "clusters": list(top)})
 
     nodes = materialize(unit.mapInPandas(assign, "node long, grp string, mult long, unit binary, clusters array<long>"), "placed")
-    placed = nodes.withColumn("cluster", F.explode("clusters"))
-    blocks = placed.groupBy("grp", "cluster").agg(F.ceil(F.count(F.lit(1)) / block_nodes).cast("int").alias("blocks"))
-    placed = placed.join(F.broadcast(blocks), ["grp", "cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = nodes.select("grp", F.explode("clusters").alias("cluster")).groupBy("grp", "cluster").agg(F.ceil(F.count(F.lit(1)) / block_nodes).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "blocks")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("cluster", F.explode("clusters")).join(blocks, ["grp", "cluster"])
+        return placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    # Every block builds its graph; the lists of a node's blocks are united.
+    edges = dealt(nodes.select("node", "grp", "unit", "clusters")).groupBy("grp", "cluster", "block").applyInPandas(_build, "node long, near array<long>")
+    united = edges.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    graph = materialize(nodes.join(united, "node"), "graph")
+    placed = dealt(graph)
     # Every pair of a shard's blocks is one task; one block is the rule.
     j = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = placed.withColumn("other", j).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
-    found = materialize(rows.groupBy("grp", "cluster", "i", "j").applyInPandas(_compare(threshold, centres), "node long, links long, root long, visits array<long>"), "found")
+    found = materialize(rows.groupBy("grp", "cluster", "i", "j").applyInPandas(_search(threshold, centres), "node long, links long, root long, visits array<long>"), "found")
     if all(len(c) < 2 * wide for c in centres.values()):
         return found.select("node", "links", "root")
     # Rounds of visits beyond the shards, until near nodes lead to no cluster that is new to a node.
@@ -317,7 +514,8 @@ def _search_shards(spark, unit: DataFrame, node: DataFrame, threshold: float) ->
         parts = query.groupBy("grp", "cluster").agg(F.ceil(F.count(F.lit(1)) / block_nodes).cast("int").alias("parts"))
         query = query.join(blocks, ["grp", "cluster"]).join(parts, ["grp", "cluster"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         member = placed.join(parts, ["grp", "cluster"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        both = [d.select("grp", "cluster", "block", "part", "node", "unit", "clusters", F.lit(is_member).alias("member")) for d, is_member in ((member, True), (query, False))]
+        none = F.expr("cast(null as array<long>)").alias("near")
+        both = [member.select("grp", "cluster", "block", "part", "node", "unit", "clusters", "near", F.lit(True).alias("member")), query.select("grp", "cluster", "block", "part", "node", "unit", "clusters", none, F.lit(False).alias("member"))]
         got = both[0].unionByName(both[1]).groupBy("grp", "cluster", "block", "part").applyInPandas(_visit(threshold, centres), "node long, far array<long>, visits array<long>")
         got = materialize(got, "visited")
         far.append(got.select("node", F.explode("far").alias("end")))
@@ -345,17 +543,19 @@ def audit_recall(vectors: DataFrame, linked: DataFrame, *, threshold: float = SI
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label")).withColumn("rid", F.monotonically_increasing_id())
     units = materialize(rows.mapInPandas(_clean, "rid long, vec_id long, grp string, key string, unit binary").where("grp is not null"), "audit")
-    queries = units.where("vec_id % 20 = 0").withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(16)))
-    blocks = queries.groupBy("grp", "part").agg(F.collect_list(F.struct("rid", "unit")).alias("queries"))
+    queries = units.where("vec_id % 20 = 0")
+    parts = queries.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    queries = queries.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    blocks = queries.groupBy("grp", "part").agg(F.collect_list("rid").alias("ids"), F.collect_list("unit").alias("units"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for q, ids, u, r in zip(b["queries"], b["rid"], b["unit"], range(len(b))):
-                ru = np.frombuffer(u, np.float64)
-                for x in q:
-                    if x["rid"] != ids and float(np.frombuffer(x["unit"], np.float64) @ ru) >= threshold:
-                        yield pd.DataFrame({"rid": [x["rid"]]})
+            for _, part in b.groupby(["grp", "part"]):
+                ids = np.asarray(part["ids"].iloc[0])
+                hit = _matrix(pd.Series(part["units"].iloc[0])) @ _matrix(part["unit"]).T >= threshold
+                hit &= ids[:, None] != part["rid"].to_numpy()
+                yield pd.DataFrame({"rid": ids, "n": hit.sum(1)})
 
-    hits = units.select("grp", "rid", "unit").join(blocks, "grp").mapInPandas(count, "rid long").groupBy("rid").agg(F.count(F.lit(1)).alias("expected"))
+    hits = units.select("grp", "rid", "unit").join(blocks, "grp").mapInPandas(count, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("expected"))
     truth = queries.join(hits, "rid", "left").select("vec_id", F.coalesce("expected", F.lit(0)).alias("expected"))
     return truth.join(linked, "vec_id").agg(F.sum("expected").alias("expected"), F.sum(F.least("expected", "n_links")).alias("found"))
