@@ -598,7 +598,7 @@ def test_near_duplicates(spark, monkeypatch):
     rows += [(n, rows[0][1], "s"), (n + 1, "two words", "s"), (n + 2, "two words", "s"), (n + 3, "two  words", "s"), *[(i + 5000 if i else None, t, s) for i, t, s in ODD]]
     docs = odd(spark, rows)
     want, text = near([t for _, t, _ in rows]), dict((i, t) for i, t, _ in rows)
-    for chars, count in ((3_000_000, 1000), (4_000, 4)):
+    for chars, count in ((3_000_000, 1000), (4_000, 4), (20_000, 3)):
         monkeypatch.setattr(bagminhash, "BLOCK_CHARS", chars)
         monkeypatch.setattr(bagminhash, "BLOCK_TEXTS", count)
         out = bagminhash.near_duplicates(docs).collect()
@@ -615,6 +615,38 @@ def test_near_duplicates(spark, monkeypatch):
     assert bagminhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_overlaps_equal_counters():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", f"z{i % 5}"], 40 + i % 30)) for i in range(70)]
+    doc, h, c = bagminhash._elements(texts, 5)
+    left = np.array([0, 3, 17, 69])
+    got = bagminhash.overlaps(doc, h, c, len(texts), left)
+    want = [[sum((bag(texts[i]) & bag(t)).values()) for t in texts] for i in left]
+    assert all(got[r, j] == want[r][j] for r, i in enumerate(left) for j in range(len(texts)) if i != j)
+
+
+def test_no_link_of_a_bucket_is_lost(spark, monkeypatch):
+    """Chains of texts, each near the next and few near the first, that share buckets: what the leader does not settle is compared."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(6):
+        w = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(25):
+            w = list(w)
+            for j in rng.integers(0, 120, 2):
+                w[j] = f"x{rng.integers(99999)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = near([t for _, t in rows])
+    least = {}
+    for i, t in rows:
+        least[want[t]] = min(i, least.get(want[t], i))
+    for texts in (1000, 5):
+        monkeypatch.setattr(bagminhash, "BLOCK_TEXTS", texts)
+        got = {r["doc_id"]: r["component_id"] for r in bagminhash.near_duplicates(docs).collect()}
+        assert got == {i: least[want[t]] for i, t in rows}
+
+
 # --- op8
 
 
