@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 
 from veilframe.api import Redactor
 from veilframe.operators import policy
+from veilframe.operators.dictionary import Dictionary
 from veilframe.plans import curate
 from veilframe.sources import config as C
-from veilframe.streaming import PASS, latest_entries, log_stream, rewrite_stream
+from veilframe.streaming import PASS, latest_entries, log_stream, pause_stream, reloading, rewrite_stream, taint_stream
 
 CONFIG = json.dumps(
     {
-        "githubTopic": "ignored",
+        "anything": "ignored",
         "lists": [
-            {"name": "places", "terms": ["Teotihuacan", "Chichen Itza", "Pyramids of Giza"]},
-            {"name": "repos", "mode": "drop-line", "terms": ["secret-repo"]},
-            {"name": "people", "restore": True, "terms": ["Ada Lovelace"]},
+            {"name": "places", "terms": ["Valparaiso", "Rapa Nui", "Cliffs of Moher"]},
+            {"name": "repos", "mode": "drop-line", "terms": ["quiet-engine"]},
+            {"name": "people", "restore": True, "terms": ["Nils Holger"]},
             {"name": "short", "terms": ["x"]},
-            {"name": "packed", "pack": "sites", "exclude": ["tikal"]},
+            {"name": "packed", "pack": "sites", "exclude": ["vigan"]},
         ],
     }
 )
@@ -28,20 +29,20 @@ CONFIG = json.dumps(
 
 @pytest.fixture(scope="module")
 def redactor(spark):
-    return Redactor(spark, CONFIG, "seed", {"sites": ["Tikal", "Copan"]})
+    return Redactor(spark, CONFIG, "seed", {"sites": ["Vigan", "Petra"]})
 
 
 def test_dimension(redactor):
     assert redactor.skipped == 1
-    assert set(redactor.dictionary.terms) == {"teotihuacan", "chichen itza", "pyramids of giza", "secret repo", "ada lovelace", "copan"}
+    assert set(redactor.dictionary.terms) == {"valparaiso", "rapa nui", "cliffs of moher", "quiet engine", "nils holger", "petra"}
     assert redactor.status() == "on: 6 terms"
 
 
 def test_redact_columns(spark, redactor):
-    rows = [(1, "We visited Teotihuacán yesterday."), (2, "a\nsecret-repo\nb"), (3, None), (4, "secret-repo"), (5, "plain")]
+    rows = [(1, "Ferries reach Valparaíso at noon."), (2, "a\nquiet-engine\nb"), (3, None), (4, "quiet-engine"), (5, "plain")]
     df = spark.createDataFrame(rows, "id int, text string")
     got = {r["id"]: r["r"] for r in df.select("id", redactor.redact("text").alias("r")).collect()}
-    assert got[1]["replaced"] == 1 and "Teotihuac" not in got[1]["value"] and got[1]["value"].endswith(" yesterday.")
+    assert got[1]["replaced"] == 1 and "Valpara" not in got[1]["value"] and got[1]["value"].endswith(" at noon.")
     assert (got[2]["value"], got[2]["dropped"]) == ("a\nb", 1)
     assert got[3]["value"] is None and not got[3]["changed"]
     assert got[4]["vanished"] and got[4]["value"] == "" and not got[5]["changed"]
@@ -59,19 +60,19 @@ def test_failing_rows_are_withheld(spark, redactor, monkeypatch):
 
 
 def test_calls(spark, redactor):
-    name = redactor.dictionary.terms["teotihuacan"].placeholder
-    ada = redactor.dictionary.terms["ada lovelace"].placeholder
-    calls = [("Bash", {"command": f"ls {name}"}), ("Bash", {"command": f"ls {ada}"}), ("Task", {"prompt": name}), ("Read", {"file_path": "C:\\me\\topics.json"}), ("Write", {"file_path": "README", "content": "me/topics.json"}), ("Bash", None)]
+    name = redactor.dictionary.terms["valparaiso"].placeholder
+    nils = redactor.dictionary.terms["nils holger"].placeholder
+    calls = [("Bash", {"command": f"open {name}"}), ("Bash", {"command": f"open {nils}"}), ("Task", {"prompt": name}), ("Read", {"file_path": "D:\\conf\\words.json"}), ("Write", {"file_path": "README", "content": "conf/words.json"}), ("Bash", None)]
     df = spark.createDataFrame([(i, t, json.dumps(p) if p else "not json") for i, (t, p) in enumerate(calls)], "id int, tool string, payload string")
-    got = [r["c"] for r in df.select("id", redactor.guard("tool", "payload", "c:/me/topics.json").alias("c")).orderBy("id").collect()]
+    got = [r["c"] for r in df.select("id", redactor.guard("tool", "payload", "d:/conf/words.json").alias("c")).orderBy("id").collect()]
     assert [g["denied"] for g in got] == [True, False, False, True, False, True]
-    assert json.loads(got[1]["input"]) == {"command": "ls Ada Lovelace"}
+    assert json.loads(got[1]["input"]) == {"command": "open Nils Holger"}
 
 
 def test_sql_functions(spark, redactor):
     redactor.register()
-    assert spark.sql("SELECT fold('Á—b') AS f, has_term('Copan') AS h").first() == ("a b", True)
-    assert [r["folded"] for r in spark.sql("SELECT * FROM find_terms('Copan and Teotihuacán')").collect()] == ["copan", "teotihuacan"]
+    assert spark.sql("SELECT fold('Á—b') AS f, has_term('Petra') AS h").first() == ("a b", True)
+    assert [r["folded"] for r in spark.sql("SELECT * FROM find_terms('Petra and Valparaíso')").collect()] == ["petra", "valparaiso"]
 
 
 def test_config_errors_name_a_place():
@@ -105,7 +106,7 @@ def test_packs(spark, tmp_path):
     assert {r["pack"]: r["is_replaced"] for r in C.overlay(packs).collect()} == {"a": True, "b": False, "c": False}
 
 
-CLEAN = [("Tikal", "Tikal"), ("  Chichen   Itza ", "Chichen Itza"), ("Caracol (site)", "Caracol"), ("Copan, Honduras", "Copan"), ("Category:Maya", None), ("List of Maya sites", None), ("-logy", None), ("1990s in Mexico", None), ("ab", None), ("DNA", None), ("a b c d e f", None), ("", None), ("Age-sets", "Age-sets")]
+CLEAN = [("Tikal", "Tikal"), ("  Rapa   Nui ", "Rapa Nui"), ("Caracol (site)", "Caracol"), ("Copan, Honduras", "Copan"), ("Category:Maya", None), ("List of Maya sites", None), ("-logy", None), ("1990s in Mexico", None), ("ab", None), ("DNA", None), ("a b c d e f", None), ("", None), ("Age-sets", "Age-sets")]
 
 
 def test_clean_titles(spark):
@@ -130,7 +131,7 @@ def test_curation_end_to_end(spark):
     pack = curate.pack_json(recipe, c, counts, "2026.01.01")
     assert json.loads(pack)["terms"] == ["Baking Pot", "Caracol", "Giza", "Tikal"] and json.loads(pack)["sources"][0] == {"kind": "wikipedia-category", "query": "Sites", "depth": 1, "found": 6, "kept": 4}
     text = curate.report(recipe, c, dropped, C.source_table(spark, recipe), counts)
-    assert "| wikipedia: Sites | 6 | 4 |" in text and "list of sites: list or outline page" in text
+    assert "| wikipedia: Sites | terms | 1 | 6 | 4 |" in text and "| judge term | 0.7 |" in text and "| Llama | in 5 corpus files | 2.95 | 5 | 0.10 | hint |" in text and "list of sites: list or outline page" in text
     assert [r["key"] for r in curate.unsettled(c, recipe.thresholds).collect()] == []
 
 
@@ -142,6 +143,75 @@ def test_corpus_files(spark, tmp_path):
     assert sorted(r["path"].rsplit("/", 1)[1] for r in got.collect()) == ["a.md", "d.py"]
 
 
+def test_walk_order(spark):
+    paths = ["r/z.md", "r/a/x.md", "r/b.md", "r/a/c/y.md", "r/ab/q.md", "r/a/n.md"]
+    got = spark.createDataFrame([(p,) for p in paths], "path string").orderBy(curate.walk_order(F.col("path"))).collect()
+    assert [r["path"] for r in got] == ["r/b.md", "r/z.md", "r/a/n.md", "r/a/x.md", "r/a/c/y.md", "r/ab/q.md"]
+
+
+def test_even_sample_equals_a_sort(spark):
+    rows = spark.range(300_000).select(F.concat(F.lit("k"), F.hex(F.xxhash64("id"))).alias("k"), (F.col("id") % 3).alias("n"))
+    every = sorted(r["k"] for r in rows.collect())
+    for most in (128, 1000):
+        step = -(-len(every) // most)
+        assert sorted(r["k"] for r in curate.even_sample(rows, "k", most).collect()) == every[::step]
+    same = spark.range(1000).select(F.lit("one").alias("k"), "id")
+    assert curate.even_sample(same, "k", 10).count() == 10 and curate.even_sample(same.limit(0), "k", 10).count() == 0
+
+
+def test_results_fail_closed_and_tell(spark, redactor):
+    name = redactor.dictionary.terms["valparaiso"].placeholder
+    rows = [(0, "no Valparaiso", False, None, None), (1, None, True, None, "quiet-engine broke"), (2, None, False, '{"a": "Valparaiso"}', "a: Valparaiso"), (3, None, False, '{"a": 1}', "from Valparaiso"), (4, None, False, '{"a": 1}', "plain"), (5, None, False, "{broken", "x")]
+    df = spark.createDataFrame(rows, "id int, deny string, err boolean, record string, text string")
+    got = [r["r"] for r in df.select("id", policy.filter_results(spark, redactor.dictionary, *map(F.col, ("deny", "err", "record", "text"))).alias("r")).orderBy("id").collect()]
+    assert [g["kind"] for g in got] == ["deny", "deny", "result", "deny", "same", "withheld"]
+    assert got[0]["value"] == f"no {name}" and got[1]["value"].endswith(" broke") and json.loads(got[2]["value"]) == {"a": name} and name in got[2]["note"] and "Valpar" not in str(got)
+    assert got[5]["error"] == "JSONDecodeError" and got[3]["value"] == f"from {name}"
+
+
+def test_commands(spark, redactor):
+    rows = [(None, "s1", "add", "one.txt", 1, "a", 2, 0, "Alpha", "Fig1", "l"), (None, "s2", "add", "two.txt", 2, "b", 0, 3, "Beta", "Oak2", "l"), ("x", "s1", "add", "three.txt", 3, "a", 1, 0, "Alpha", "Fig1", "l"), (None, "s9", "standing", "always", 0, "a", 1, 0, "Alpha", "Fig1", "l")]
+    entries = spark.createDataFrame(rows, "agent string, slot string, mode string, label string, seq long, folded string, replaced long, dropped long, canonical string, placeholder string, list_name string").withColumn("kind", F.lit("files"))
+    state = {}
+    assert redactor.command("log", entries=entries, state=state) == ["hidden in every request:", "  always", "      Alpha -> Fig1 (x1)", "hidden as it came in:", "  one.txt", "      Alpha -> Fig1 (x2)", "  two.txt", '      3 lines dropped by "l": Beta (x3)', "hidden in subagent x:", "  three.txt", "      Alpha -> Fig1 (x1)"]
+    redactor.command("log clear", entries=entries, state=state)
+    assert redactor.command("log", entries=entries, state=state) == ["hidden in every request:", "  always", "      Alpha -> Fig1 (x1)"]
+    assert redactor.command("off", state=state) == ["paused"] and redactor.command("on", state=state) == ["on: 6 terms"]
+    packs = spark.createDataFrame([("sites",), ("spare",)], "pack string")
+    assert redactor.command("packs", packs=packs) == ["sites: packed", "spare: not used"]
+    assert redactor.command("reload", state=state) and state["reload"] and redactor.command("?")[0].startswith("commands")
+
+
+def test_settings_join_the_configuration():
+    both = C.with_settings(C.parse_config('{"lists": [{"terms": ["a"]}]}'), {"otherPacks": "sites", "extraWords": "b c"})
+    assert [(x.name, x.pack, x.terms) for x in both.lists] == [("list 1", None, ["a"]), ("sites", "sites", []), ("extra words", None, ["b c"])]
+    for text in ("{}", '{"list": []}', '{"lists": {}}'):
+        with pytest.raises(C.ConfigError, match="lists"):
+            C.parse_config(text)
+
+
+def test_reload_looks_at_the_stamp():
+    now, stamp, loads, ran = [0.0], ["a"], [], []
+    each = reloading(lambda: loads.append(1) or (1 / 0 if stamp[0] == "bad" else stamp[0]), lambda b, i, v: ran.append(v), stamp=lambda: stamp[0], clock=lambda: now[0])
+    for t, s in ((0, "a"), (0.5, "b"), (1.5, "b"), (3, "b"), (5, "bad"), (7, "c")):
+        now[0], stamp[0] = t, s
+        each(None, 0)
+    assert ran == ["a", "a", "b", "b", "b", "c"] and len(loads) == 4
+
+
+class Broken(Dictionary):
+    def rewrite(self, *a, **k):
+        raise ValueError("hidden")
+
+
+def test_sql_redact_fails_closed(spark, redactor):
+    from veilframe.operators.redaction import register_functions
+
+    register_functions(spark, Broken(list(redactor.dictionary.terms.values())))
+    assert spark.sql("SELECT redact('Petra') AS r").first()["r"] is None
+    redactor.register()
+
+
 def test_cache_and_judge(spark, tmp_path):
     cache = curate.ResponseCache(spark, str(tmp_path / "cache"))
     spark.createDataFrame([("none", "x")], "key string, body string").write.parquet(cache.path)
@@ -150,10 +220,35 @@ def test_cache_and_judge(spark, tmp_path):
         cache.get(urls, None)
     assert {r["url"]: r["body"] for r in cache.get(urls, lambda u: u.upper()).collect()} == {"http://a": "HTTP://A", "http://b": "HTTP://B"}
     assert cache.get(urls, None).count() == 2
-    texts = spark.createDataFrame([(f"t{i}",) for i in range(45)], "text string").coalesce(1)
-    answers = curate.ask(texts, spark.createDataFrame([], "key string, p double"), lambda ts: [0.5] * len(ts), model="m", wording="w")
+    assert cache.get(urls, lambda u: "new", refresh=True).select("body").distinct().first()["body"] == "new"
+
+
+def test_judge_saves_what_it_is_told(spark, tmp_path):
+    path, log = str(tmp_path / "answers"), str(tmp_path / "asked")
+    texts = spark.createDataFrame([(f"t{i}",) for i in range(45)] + [("t0",)], "text string").coalesce(1)
+
+    def post(batch, broken=()):
+        with open(log, "a") as f:
+            f.write("\n".join(batch) + "\n")
+        if any(t in broken for t in batch):
+            raise OSError("no route")
+        return [0.5] * len(batch), {"tokens": 10, "cost": 0.01}
+
+    ask = lambda post, **k: curate.ask(texts, path, post, model="m", wording=k.get("wording", "w"))
+    with pytest.raises(curate.JudgeError):
+        ask(lambda ts: post(ts, ("t44", "t7")))
+    first = open(log).read().split()
+    answers = ask(post)
+    rows = answers.collect()
+    assert {r["text"] for r in rows} == {f"t{i}" for i in range(45)} and all(r["p"] == 0.5 for r in rows)
     costs = curate.judge_costs(answers).first()
-    assert costs["asked"] == 45 and costs["cached"] == 0 and costs["requests"] >= 3
+    asked = open(log).read().split()
+    assert costs["asked"] + costs["cached"] == 45 and costs["asked"] == len(asked) - len(first) < 45 and costs["tokens"] == 10 * costs["requests"]
+    again = curate.judge_costs(ask(post)).first()
+    assert (again["asked"], again["cached"], again["cost"]) == (0, 45, 0.0) and open(log).read().split() == asked
+    with pytest.raises(curate.JudgeError):
+        ask(lambda ts: ([0.5] * (len(ts) - 1), {}), wording="other")
+    assert 0 < curate.judge_costs(ask(post, wording="other")).first()["cached"] < 45
 
 
 def test_files_read_with_something_hidden(spark):
@@ -163,13 +258,13 @@ def test_files_read_with_something_hidden(spark):
 
 
 def test_streams(spark, redactor, tmp_path):
-    events = spark.createDataFrame([(1, "prompt.submit", "secret-repo here"), (2, "tool.call", '{"out": ["secret-repo", "b"]}'), (3, "unknown", "x")], "id int, event_type string, payload string")
+    events = spark.createDataFrame([(1, "prompt.submit", "quiet-engine here"), (2, "tool.call", '{"out": ["quiet-engine", "b"]}'), (3, "unknown", "x")], "id int, event_type string, payload string")
     events.write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).json(str(tmp_path / "in"))
     q = rewrite_stream(spark, stream, redactor.dictionary).writeStream.format("memory").queryName("rewritten").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r["id"]: r["value"] for r in spark.table("rewritten").collect()}
-    assert set(got) == {1, 2} and got[1].endswith(" here") and "secret" not in got[1] and json.loads(got[2]) == {"out": ["b"]}
+    assert set(got) == {1, 2} and got[1].endswith(" here") and "quiet" not in got[1] and json.loads(got[2]) == {"out": ["b"]}
 
     t = dt.datetime(2026, 1, 1)
     rows = [("", "s1", "add", "L", "files", 1, t, ["a"], [2], [0]), ("", "s1", "add", "L", "files", 2, t, ["a", "b"], [1, 1], [0, 0]), ("", "s2", "replace", "M", "context", 3, t, ["a"], [5], [0]), ("", "s2", "replace", "M", "context", 4, t, ["b"], [1], [0])]
@@ -179,3 +274,13 @@ def test_streams(spark, redactor, tmp_path):
     q.awaitTermination()
     now = {(r["slot"], r["folded"]): (r["replaced"], r["is_new"]) for r in latest_entries(spark.table("log")).collect()}
     assert now == {("s1", "a"): (3, True), ("s1", "b"): (1, True), ("s2", "b"): (1, False)}
+
+    reads = [("A\\f", 1, True, False), ("a/F", 2, False, False), ("b", 3, True, True), ("b", 4, False, True), ("c", 5, False, True)]
+    spark.createDataFrame(reads, "path string, seq long, hidden boolean, whole boolean").coalesce(1).write.parquet(str(tmp_path / "reads"))
+    spark.createDataFrame([("s", 1, "pause", "agent"), ("s", 2, "pause", "user"), ("s", 3, "log", "user"), ("t", 4, "pause", "user"), ("t", 5, "end", "agent")], "session string, seq long, command string, origin string").coalesce(1).write.parquet(str(tmp_path / "controls"))
+    for name, made in (("reads", taint_stream), ("controls", pause_stream)):
+        source = spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
+        q = made(source).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert {tuple(r) for r in spark.table("reads").collect()} == {("a/f", True, 1), ("b", True, 3), ("b", False, 4)}
+    assert {tuple(r) for r in spark.table("controls").collect()} == {("s", True, 2), ("t", True, 4), ("t", False, 5)}

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veilframe.functions.folding import fold_spans, fold_term, fold_text
+from veilframe.functions.folding import fold_column, fold_spans, fold_term, fold_text
 from veilframe.functions.names import WORDS, assign_placeholders, find_placeholders, fnv1a32
 from veilframe.operators.dictionary import Dictionary, Tally, Term
 
@@ -23,16 +23,16 @@ def found(d, text):
 
 
 CASES = [
-    (["Teotihuacan"], "Teotihuacán, TEOTIHUACAN and teotihuacan", ["Teotihuacán", "TEOTIHUACAN", "teotihuacan"]),
-    (["Maya"], "the Maya, two Mayas, the Maya’s calendar, Mayapan, Himalaya", ["Maya", "Mayas", "Maya"]),
-    ([("maya", False)], "Mayapan", ["Maya"]),
-    (["secret repo"], "secret-repo secret_repo secret  repo secretrepo", ["secret-repo", "secret_repo", "secret  repo"]),
-    (["Giza", "Pyramids of Giza"], "the Pyramids of Giza and Giza itself", ["Pyramids of Giza", "Giza"]),
-    (["gpmap"], "maps.\\ngpmap\\tpublic and \\tgpmap, not agpmap or \\xgpmap", ["gpmap", "gpmap"]),
-    (["secret-repo"], "D:\\Python\\secret-repo\\main.py and /home/me/secret-repo/", ["secret-repo", "secret-repo"]),
-    (["maya", "mayas"], "Mayas", ["Mayas"]),
-    ([("maya", True), ("pan", False)], "Mayapan and the Maya", ["pan", "Maya"]),
-    (["Giza"], "😀 Giza 😀", ["Giza"]),
+    (["Valparaiso"], "by train to VALPARAISO; Valparaíso is hilly, says valparaiso.org", ["VALPARAISO", "Valparaíso", "valparaiso"]),
+    (["Quena"], "a quena, four quenas and the quena’s tone; no quenacho, no subquena", ["quena", "quenas", "quena"]),
+    ([("quena", False)], "quenacho", ["quena"]),
+    (["quiet engine"], "quiet_engine / quiet-engine / quiet \t engine / quietengine", ["quiet_engine", "quiet-engine", "quiet \t engine"]),
+    (["Moher", "Cliffs of Moher"], "from Moher the Cliffs of Moher are near", ["Moher", "Cliffs of Moher"]),
+    (["kmodel"], "old.\\nkmodel\\rnew \\tkmodel but not skmodel, not \\qkmodel", ["kmodel", "kmodel"]),
+    (["quiet-engine"], "/srv/quiet-engine/run.sh or E:\\jobs\\quiet-engine\\run.cmd", ["quiet-engine", "quiet-engine"]),
+    (["quena", "quenas"], "Quenas", ["Quenas"]),
+    ([("quena", True), ("cho", False)], "quenacho, one quena", ["cho", "quena"]),
+    (["Moher"], "🌊 Moher 🌊", ["Moher"]),
 ]
 
 
@@ -42,17 +42,17 @@ def test_find(terms, text, expected):
 
 
 def test_plural_suffix_and_counts():
-    assert made("tomato").find("two Tomatoes.") == [(4, 12, "tomato", "es")]
-    assert made("Tikal", "Chichen Itza").count("Tikal, TIKAL and chichen-itza; Tikals; tikalito") == {"tikal": 3, "chichen itza": 1}
+    assert made("mango").find("ripe Mangoes!") == [(5, 12, "mango", "es")]
+    assert made("Vigan", "Rapa Nui").count("vigan and VIGANS by Vigan; rapa--nui once; vigano never") == {"vigan": 3, "rapa nui": 1}
 
 
-@pytest.mark.parametrize(("text", "folded"), [("Chan—Chan", "chan chan"), ("a\u00a0b", "a b"), ("a\x1cb", "a\x1cb"), ("K’iche‘", "k'iche'"), ("ÁÉ", "ae")])
+@pytest.mark.parametrize(("text", "folded"), [("Baden–Baden", "baden baden"), ("p\u00a0q", "p q"), ("p\x1dq", "p\x1dq"), ("O’Neill‘", "o'neill'"), ("ÖÇ", "oc")])
 def test_fold(text, folded):
     assert fold_text(text) == folded
 
 
 def test_fold_spans():
-    assert fold_spans("Á  b") == ("a b", [0, 1, 3], [1, 3, 4])
+    assert fold_spans("ç \t-É!") == ("c e!", [0, 1, 4, 5], [1, 4, 5, 6])
 
 
 @settings(max_examples=300, deadline=None)
@@ -61,10 +61,17 @@ def test_both_folds_agree(text):
     assert fold_text(text) == fold_spans(text)[0]
 
 
+def test_jvm_fold_equals_the_rule_for_every_code_point(spark):
+    codes = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["x".join(map(chr, codes[i : i + 900])) for i in range(0, len(codes), 900)] + ["", "ΕΛΛΑΣ ΟΔΟΣ", "한글 Ёлка", "ASCII Only-Text", "a \u0301 b"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fold_column("t").alias("f")).collect()
+    assert all(r["f"] == fold_text(texts[r["i"]]) for r in got) and len(got) == len(texts)
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("maya giz-_sé\n\\"), max_size=40))
+@given(st.text(alphabet=st.sampled_from("quena mohr-_sé\n\\"), max_size=40))
 def test_rewritten_text_holds_no_term_and_restores(text):
-    d = made("maya", "giza", restore=("maya", "giza"))
+    d = made("quena", "moher", restore=("quena", "moher"))
     value, changed, gone = d.rewrite(text, Tally())
     assert not gone and not d.test(value)
     back, _ = d.restore({"text": value})
@@ -82,41 +89,52 @@ def test_placeholders():
 
 
 def test_find_placeholders():
-    known = {"Bubblegum7", "Kazoo12", "[hidden-00ff00]"}
-    got = find_placeholders("cd Bubblegum7s && ls Kazoo12 bubblegum7, a Bubblegum, old_Kazoo12_x, aKazoo12 [hidden-00ff00]", known)
-    assert [(n, s) for _, _, n, s in got] == [("Bubblegum7", "s"), ("Kazoo12", ""), ("Kazoo12", ""), ("[hidden-00ff00]", "")]
+    known = {"Walnut3", "Trellis44", "[hidden-12ab34]"}
+    got = find_placeholders("cp my_Walnut3_dir Trellis44s; walnut3 or Walnut, xWalnut3, then Walnut3 and [hidden-12ab34]", known)
+    assert [(n, s) for _, _, n, s in got] == [("Walnut3", ""), ("Trellis44", "s"), ("Walnut3", ""), ("[hidden-12ab34]", "")]
 
 
 def test_lines_are_dropped():
-    d = made("secret-repo", "Giza", drop=("secret-repo",))
-    tally = Tally()
-    value, changed, gone = d.rewrite("a/public\na/secret-repo and Giza\nGiza\n", tally)
-    assert (value, changed, gone) == (f"a/public\n{d.terms['giza'].placeholder}\n", True, False)
-    assert (tally.replaced, tally.dropped, tally.hits) == (1, 1, {"secret repo": [0, 1], "giza": [1, 0]})
-    assert d.rewrite("x\\nsecret-repo\\ty\\nz", Tally())[0] == "x\\nz"
-    assert d.rewrite("only secret-repo", Tally()) == ("", True, True)
-    kept = d.rewrite("see secret-repo please", Tally(), allow_drop=False)
-    assert kept[0] == f"see {d.terms['secret repo'].placeholder} please"
+    d = made("quiet-engine", "Moher", drop=("quiet-engine",))
+    tally, moher = Tally(), d.terms["moher"].placeholder
+    value, changed, gone = d.rewrite("first\nMoher with quiet-engine\nlast Moher\n", tally)
+    assert (value, changed, gone) == (f"first\nlast {moher}\n", True, False)
+    assert (tally.replaced, tally.dropped, tally.hits) == (1, 1, {"quiet engine": [0, 1], "moher": [1, 0]})
+    assert d.rewrite("p\\nq quiet_engine\\nr", Tally())[0] == "p\\nr"
+    assert d.rewrite("quiet-engine alone", Tally()) == ("", True, True)
+    kept = d.rewrite("start quiet-engine now", Tally(), allow_drop=False)
+    assert kept[0] == f"start {d.terms['quiet engine'].placeholder} now"
     # Across two lines a term is replaced, as no line holds it.
-    assert d.rewrite("a secret\nrepo b", Tally())[0] == f"a {d.terms['secret repo'].placeholder} b"
+    assert d.rewrite("so quiet\nengine it is", Tally())[0] == f"so {d.terms['quiet engine'].placeholder} it is"
 
 
 def test_nested_values():
-    d = made("secret-repo", "Teotihuacan", drop=("secret-repo",))
-    inner = json.dumps([{"name": "public"}, {"name": "secret-repo"}], indent=2)
-    value, changed, _ = d.rewrite_value({"stdout": inner, "stderr": ""}, Tally())
-    assert changed and value == {"stdout": json.dumps([{"name": "public"}], indent=2), "stderr": ""}
-    assert d.rewrite_value({"filenames": ["a/secret-repo/x.ts", "b.ts"], "numFiles": 2}, Tally())[0] == {"filenames": ["b.ts"], "numFiles": 2}
-    same = {"type": "Teotihuacan", "data": "abcd" * 75}
+    d = made("quiet-engine", "Valparaiso", drop=("quiet-engine",))
+    inner = json.dumps([{"id": "quiet-engine"}, {"id": "loud"}], indent=3)
+    value, changed, _ = d.rewrite_value({"out": inner, "err": ""}, Tally())
+    assert changed and value == {"out": json.dumps([{"id": "loud"}], indent=3), "err": ""}
+    assert d.rewrite_value({"paths": ["z.py", "src/quiet-engine/y.py"], "count": 2}, Tally())[0] == {"paths": ["z.py"], "count": 2}
+    same = {"kind": "Valparaiso", "bytes": "Zm9v" * 80}
     assert d.rewrite_value(same, Tally()) == (same, False, False)
-    deep = "Teotihuacan"
+    deep = "Valparaiso"
     for _ in range(70):
         deep = [deep]
     assert d.rewrite_value(deep, Tally())[1] is False
 
 
+def test_tally_does_not_depend_on_the_order_of_keys():
+    d = made("quiet-engine", "Moher", drop=("quiet-engine",))
+    counts = []
+    for keys in (("a", "b", "c"), ("c", "b", "a"), ("b", "a", "c")):
+        tally = Tally()
+        values = {"a": "quiet-engine", "b": "near Moher and Moher", "c": "more quiet-engine"}
+        assert d.rewrite_value([{k: values[k] for k in keys}, "kept"], tally)[0] == ["kept"]
+        counts.append((tally.replaced, tally.dropped))
+    assert set(counts) == {(2, 2)}
+
+
 def test_calls():
-    d = made("Ada Lovelace", "Giza", restore=("Ada Lovelace",))
-    ada, giza = (d.terms[k].placeholder for k in ("ada lovelace", "giza"))
-    assert d.guarded_in({"command": f"ls {giza} {ada}", "tool_use_id": giza}) == [giza]
-    assert d.restore({"command": f"ls {ada}s", "agentId": ada}) == ({"command": "ls Ada Lovelaces", "agentId": ada}, True)
+    d = made("Nils Holger", "Moher", restore=("Nils Holger",))
+    nils, moher = (d.terms[k].placeholder for k in ("nils holger", "moher"))
+    assert d.guarded_in({"script": f"cat {nils} {moher}", "agentId": moher}) == [moher]
+    assert d.restore({"script": f"open {nils}s", "tool_use_id": nils}) == ({"script": "open Nils Holgers", "tool_use_id": nils}, True)

@@ -34,8 +34,8 @@ def test_associations(spark):
 
 
 def test_retries():
-    waits, replies = [], [(503, {}, ""), (429, {"Retry-After": "99"}, ""), (200, {}, '{"error": {"code": "maxlag"}}'), (200, {}, "ok")]
-    assert retrying(lambda u: replies.pop(0), waits.append)("https://example.org/x") == "ok" and waits == [1.0, 60.0, 4.0]
+    waits, replies = [], [(503, {}, ""), (429, {"Retry-After": "99"}, ""), (200, {}, '{"error": {"code": "maxlag"}}'), (0, {}, ""), (200, {}, '"ok"')]
+    assert retrying(lambda u: replies.pop(0), waits.append)("https://example.org/x") == '"ok"' and waits == [1.0, 60.0, 4.0, 8.0]
     with pytest.raises(FetchError, match="example.org answered 404"):
         retrying(lambda u: (404, {}, ""), waits.append)("https://example.org/secret")
     with pytest.raises(FetchError):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.operators import audit, policy, redaction, terms
-from veilframe.sources.config import Config, check_packs, parse_config
+from veilframe.sources.config import Config, check_packs, pack_usage, parse_config
 
 
 class Redactor:
@@ -48,3 +48,33 @@ class Redactor:
 
     def status(self, paused: bool = False) -> str:
         return policy.status(True, paused, None, len(self.dictionary.terms))
+
+    def packs(self, found: DataFrame) -> DataFrame:
+        """Every pack and the lists that use it; names asked for that are no pack are there too."""
+        lists = self.spark.createDataFrame([(x.pack, x.name) for x in self.config.lists if x.pack], "pack string, list_name string")
+        return pack_usage(lists, found.select("pack").distinct())
+
+    def command(self, line: str, *, entries: DataFrame | None = None, packs: DataFrame | None = None, state: dict | None = None) -> list[str]:
+        """The lines that a command answers: on, off, status, packs, log, log clear, reload.
+
+        state holds `paused`, `cleared` (the seq after which passing entries count) and `reload`; the caller keeps it between commands.
+        """
+        state = {} if state is None else state
+        words = line.split()
+        if words in (["on"], ["off"]):
+            state["paused"] = words == ["off"]
+        elif words == ["log", "clear"]:
+            last = entries.agg(F.max("seq")).first()[0] if entries is not None else None
+            state["cleared"] = last if last is not None else state.get("cleared")
+            return ["cleared; what stands in every request stays"]
+        elif words == ["log"]:
+            rows = entries.where((F.col("mode") == "standing") | (F.col("seq") > F.lit(state.get("cleared", -1))))
+            kept = audit.newest_sources(rows)
+            return audit.log_text(audit.log_lines(kept), audit.forgotten(rows).first()[0])
+        elif words == ["packs"]:
+            return [f"{r['pack']}: {', '.join(r['used_by']) or 'not used'}{'' if r['found'] else ' (NOT FOUND)'}" for r in self.packs(packs).orderBy("pack").collect()]
+        elif words == ["reload"]:
+            state["reload"] = True
+        elif words != ["status"]:
+            return ["commands: on, off, status, packs, log, log clear, reload"]
+        return [self.status(state.get("paused", False))]

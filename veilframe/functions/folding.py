@@ -1,8 +1,8 @@
 """Folding of text: case, accents and the style of separators do not count.
 
 A run of white space, hyphens, dashes and underscores becomes one space; typographic apostrophes become plain; every other code point is
-decomposed, loses its marks and is lower-cased by itself. The exact form is a function of Python's Unicode tables and runs in
-Arrow batches; `fold_column` is the form that stays in the JVM, exact for texts within Latin scripts' common letters.
+decomposed, loses its marks and is lower-cased by itself. `fold` runs in Arrow batches; `fold_column` stays in the JVM. Both are exact and equal
+for every code point: the JVM's table is made from the rule itself.
 """
 
 from __future__ import annotations
@@ -97,16 +97,37 @@ def fold(c: Column | str) -> Column:
     return run(F.col(c) if isinstance(c, str) else c)
 
 
-def _latin_map() -> tuple[str, str]:
-    """Letters of Latin-1 and Latin Extended-A that fold to one letter, from the rule itself."""
-    pairs = [(chr(i), fold_char(chr(i))) for i in range(0xC0, 0x180)]
-    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+#: The ranges that can hold letters which fold to something else, and the syllables that fold to their parts.
+_LETTERED = [(0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x1F000), (0x2F800, 0x2FA20), (0xE0100, 0xE01F0)]
+_SYLLABLES, _LEADS, _VOWELS, _TAILS = (0xAC00, 0xD7A3), 0x1100, 0x1161, 0x11A7
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[str, str]:
+    """(letters that fold to one other, what they fold to); letters beyond the second's length fold to nothing."""
+    pairs = [(chr(i), fold_char(chr(i))) for i in [*range(0x41, 0x5B), *(i for a, b in _LETTERED for i in range(a, b))] if chr(i) not in SEPARATORS]
+    one = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in one) + "".join(a for a, b in pairs if not b), "".join(b for _, b in one)
+
+
+def _syllable_parts(c: Column) -> Column:
+    """Each composed syllable as its two or three letters, by the arithmetic of their code points."""
+    row = lambda first, n: F.array(*[F.lit(chr(first + i)) for i in range(n)])
+
+    def parts(ch: Column) -> Column:
+        i = F.ascii(ch) - _SYLLABLES[0]
+        tail = F.when(i % 28 > 0, F.element_at(row(_TAILS + 1, 27), F.greatest(i % 28, F.lit(1)))).otherwise("")
+        whole = F.concat(F.element_at(row(_LEADS, 19), (F.floor(i / 588) + 1).cast("int")), F.element_at(row(_VOWELS, 21), (F.floor(i % 588 / 28) + 1).cast("int")), tail)
+        return F.when((F.ascii(ch) >= _SYLLABLES[0]) & (F.ascii(ch) <= _SYLLABLES[1]), whole).otherwise(ch)
+
+    return F.array_join(F.transform(F.split(c, ""), parts), "")
 
 
 def fold_column(c: Column | str) -> Column:
-    """Folding in the JVM: one translate, two replacements and lower(); exact where letters are ASCII, Latin-1 or Latin Extended-A."""
+    """Exact folding in the JVM: ASCII texts are lower-cased, others pass one table, and composed syllables their arithmetic."""
     c = F.col(c) if isinstance(c, str) else c
-    src, dst = _latin_map()
-    spaced = F.regexp_replace(F.translate(c, src + APOSTROPHES, dst + "''"), SEPARATOR_CLASS + "+", " ")
-    return F.lower(F.regexp_replace(spaced, r"\p{M}+", ""))
+    spaced = F.regexp_replace(c, SEPARATOR_CLASS + "+", " ")
+    src, dst = _tables()
+    flat = F.translate(spaced, src[: len(dst)] + APOSTROPHES + src[len(dst) :], dst + "''")
+    wide = F.when(c.rlike(f"[\\x{{{_SYLLABLES[0]:x}}}-\\x{{{_SYLLABLES[1]:x}}}]"), _syllable_parts(flat)).otherwise(flat)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), wide).otherwise(F.lower(spaced))

@@ -23,10 +23,6 @@ def is_slug(c: Column) -> Column:
     return c.rlike(SLUG)
 
 
-def is_word_char(c: Column) -> Column:
-    return c.rlike(r"^[\p{L}\p{N}]")
-
-
 def source_label(c: Column) -> Column:
     """White space flattened; more than 100 characters are cut and end in an ellipsis."""
     flat = F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -95,10 +91,3 @@ def near_name(name: Column, other: Column) -> Column:
     limit = F.greatest(F.lit(2), F.floor(F.char_length(name) / 3))
     d = F.when(name.startswith(other) | other.startswith(name), 0).otherwise(F.levenshtein(name, other))
     return F.when(d <= limit, d)
-
-
-def note(replaced: Column, dropped: Column, names: Column) -> Column:
-    """What a reader of a rewritten text is told; null where nothing was hidden."""
-    shown = F.array_join(F.slice(names, 1, SHOWN_NAMES), ", ")
-    parts = F.concat_ws(", and ", F.when(replaced > 0, F.concat(plural(replaced, "hidden term"), F.when(replaced == 1, " was").otherwise(" were"), F.lit(" replaced with placeholder names ("), shown, F.lit(")"))), F.when(dropped > 0, F.concat(plural(dropped, "line"), F.lit(" mentioning hidden items "), F.when(dropped == 1, "was").otherwise("were"), F.lit(" removed"))))
-    return F.when((replaced > 0) | (dropped > 0), parts)

@@ -155,16 +155,15 @@ class Dictionary:
             got = [self.rewrite_value(x, tally, depth + 1) for x in v]
             return [x for x, _, gone in got if not gone], any(c or gone for _, c, gone in got), False
         if isinstance(v, dict):
-            out, changed = {}, False
+            out, changed, vanished = {}, False, False
             for k, x in v.items():
                 if k in COPIED_KEYS:
                     out[k] = x
                     continue
+                # What else the object hides is counted too, whatever the order of its keys.
                 out[k], c, gone = self.rewrite_value(x, tally, depth + 1)
-                if gone:
-                    return None, True, True
-                changed |= c
-            return out, changed, False
+                changed, vanished = changed | c, vanished | gone
+            return (None, True, True) if vanished else (out, changed, False)
         return v, False, False
 
     def _string(self, s: str, tally: Tally, depth: int) -> tuple[Any, bool, bool]:

@@ -1,7 +1,8 @@
 """Finding, replacing and dropping listed terms in text columns.
 
 The dictionary is compiled on the driver (hundreds to thousands of terms) and broadcast; its size is the lists', never the
-data's. Rewriting is a function of one row, so no text is shuffled. A row that cannot be rewritten becomes null with its error,
+data's. Functions here are marked as not deterministic, which they are not, so that each text is read once however many of the
+result's fields a plan uses. Rewriting is a function of one row, so no text is shuffled. A row that cannot be rewritten becomes null with its error,
 never the text itself.
 """
 
@@ -37,7 +38,7 @@ def find_terms(spark: SparkSession, d: Dictionary, text: Column | str) -> Column
         for s in batches:
             yield pd.Series([None if t is None else [dict(zip(("start", "end", "folded", "suffix"), m)) for m in own.find(t)] for t in s])
 
-    return run(_col(text))
+    return run.asNondeterministic()(_col(text))
 
 
 def count_terms(spark: SparkSession, d: Dictionary, text: Column | str) -> Column:
@@ -50,7 +51,7 @@ def count_terms(spark: SparkSession, d: Dictionary, text: Column | str) -> Colum
         for s in batches:
             yield pd.Series([[] if t is None else [{"folded": k, "n": n} for k, n in own.count(t).items()] for t in s])
 
-    return run(_col(text))
+    return run.asNondeterministic()(_col(text))
 
 
 def _rewriter(spark: SparkSession, d: Dictionary, one: Callable[[Dictionary, str, Tally], tuple]):
@@ -71,7 +72,8 @@ def _rewriter(spark: SparkSession, d: Dictionary, one: Callable[[Dictionary, str
                     rows.append((None, False, False, 0, 0, [], type(e).__name__))
             yield pd.DataFrame(rows, columns=["value", "changed", "vanished", "replaced", "dropped", "hits", "error"])
 
-    return run
+    # Marked so that a filter on one field does not make the optimiser rewrite every text once more for it.
+    return run.asNondeterministic()
 
 
 def redact(spark: SparkSession, d: Dictionary, text: Column | str, *, allow_drop: bool = True) -> Column:
@@ -166,20 +168,29 @@ def ngram_find(docs: DataFrame, terms: DataFrame, *, key: str = "doc_id", text:
 
 
 def register_functions(spark: SparkSession, d: Dictionary) -> None:
-    """SQL names: fold(text), has_term(text), redact(text) and the table function find_terms(text)."""
+    """SQL names: fold(text), has_term(text), redact(text) and the table function find_terms(text). A text that fails is withheld: null."""
     from pyspark.sql.functions import udtf
 
     from veilframe.functions.folding import fold_text
 
     sent = spark.sparkContext.broadcast(d)
-    spark.udf.register("fold", F.pandas_udf(lambda s: s.map(lambda t: None if t is None else fold_text(t)), "string"))
-    spark.udf.register("has_term", F.pandas_udf(lambda s: s.map(lambda t: t is not None and sent.value.test(t)), "boolean"))
-    spark.udf.register("redact", F.pandas_udf(lambda s: s.map(lambda t: None if t is None else sent.value.rewrite(t, Tally())[0]), "string"))
-    words = d
+
+    def closed(one: Callable[[str], object], failed: object) -> Callable[[object], object]:
+        def run(t: object) -> object:
+            try:
+                return None if t is None else one(t)
+            except Exception:  # fail closed: the text never passes
+                return failed
+
+        return run
+
+    spark.udf.register("fold", F.pandas_udf(lambda s: s.map(closed(fold_text, None)), "string"))
+    spark.udf.register("has_term", F.pandas_udf(lambda s: s.map(lambda t: t is not None and closed(sent.value.test, True)(t)), "boolean"))
+    spark.udf.register("redact", F.pandas_udf(lambda s: s.map(closed(lambda t: sent.value.rewrite(t, Tally())[0], None)), "string"))
 
     class FindTerms:
         def eval(self, text: str):
-            for m in words.find(text or ""):
+            for m in sent.value.find(text or ""):
                 yield m
 
     spark.udtf.register("find_terms", udtf(FindTerms, returnType="start: int, end: int, folded: string, suffix: string"))

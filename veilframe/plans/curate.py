@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.folding import fold
+from veilframe.functions.folding import fold_column
 from veilframe.functions.scalars import cache_key, cell, niceness
 from veilframe.operators.dictionary import Dictionary, Term
 from veilframe.operators.redaction import term_hits
@@ -19,6 +22,8 @@ from veilframe.sources.config import Recipe, Thresholds, label
 NAMESPACES = "Category Template Portal Wikipedia Help File Draft Module Appendix Thesaurus Rhymes Reconstruction Citations Concordance Index Wiktionary Special".split()
 LIST_STARTS = ["list of", "lists of", "outline of", "index of", "timeline of", "glossary of", "bibliography of"]
 MAX_WORDS, MAX_FILE_BYTES, MAX_FILES, SNIFF, BATCH, SHOWN_DROPS = 5, 1_000_000, 20_000, 8192, 20, 200
+#: Ranges that an even sample is ranked in.
+SPLITS = 256
 #: Files that are text, and folders never entered.
 TEXT_SUFFIXES = ".md .txt .py .ts .tsx .js .json .toml .yaml .yml .html .css .rs .go .java .cs .ps1 .sh".split()
 SKIPPED_FOLDERS = "node_modules .git .venv venv dist build target __pycache__ .next".split()
@@ -77,20 +82,20 @@ class ResponseCache:
         self.spark, self.path = spark, path
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema("key string, body string").parquet(self.path)
+        return self.spark.read.schema("key string, body string, at long").parquet(self.path)
 
     def missing(self, urls: DataFrame) -> DataFrame:
         return urls.withColumn("key", cache_key(F.col("url"))).join(self.read(), "key", "left_anti")
 
     def found(self, urls: DataFrame) -> DataFrame:
-        return urls.withColumn("key", cache_key(F.col("url"))).join(self.read().dropDuplicates(["key"]), "key")
+        return urls.withColumn("key", cache_key(F.col("url"))).join(self.read().groupBy("key").agg(F.max_by("body", F.coalesce("at", F.lit(0))).alias("body")), "key")
 
     def append(self, rows: DataFrame) -> None:
-        rows.select("key", "body").write.mode("append").parquet(self.path)
+        rows.select("key", "body", F.unix_micros(F.current_timestamp()).alias("at")).write.mode("append").parquet(self.path)
 
-    def get(self, urls: DataFrame, opener: Callable[[str], str] | None) -> DataFrame:
-        """Bodies of all urls; without an opener (offline) a missing one is an error."""
-        todo = self.missing(urls)
+    def get(self, urls: DataFrame, opener: Callable[[str], str] | None, *, refresh: bool = False) -> DataFrame:
+        """Bodies of all urls; without an opener (offline) a missing one is an error; refresh asks again for what is there."""
+        todo = urls.withColumn("key", cache_key(F.col("url"))) if refresh else self.missing(urls)
         if opener is None:
             if not todo.isEmpty():
                 raise LookupError("offline, and some responses are not in the cache")
@@ -114,7 +119,7 @@ def _nfc(c: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    return F.when(c.rlike(r"[^\x00-\x7F]"), run(c)).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), run.asNondeterministic()(c)).otherwise(c)
 
 
 def clean_titles(items: DataFrame, title: str = "title") -> DataFrame:
@@ -123,7 +128,7 @@ def clean_titles(items: DataFrame, title: str = "title") -> DataFrame:
     df = items.withColumn("__flat", F.coalesce(flat, F.lit("")))
     bare = F.regexp_replace("__flat", r"(\s*\([^()]*\))+\s*$", "")
     name = F.regexp_replace(F.substring_index(bare, ", ", 1), r"^[ ,;:]+|[ ,;:]+$", "")
-    df = df.withColumn("__name", name).withColumn("__key", F.trim(fold("__name")))
+    df = df.withColumn("__name", name).withColumn("__key", F.trim(fold_column("__name")))
     n, low = F.col("__name"), F.lower("__flat")
     words, letters = F.split(n, " "), F.regexp_count(n, F.lit(r"[\p{L}\p{N}]"))
     reason = (
@@ -139,7 +144,7 @@ def clean_titles(items: DataFrame, title: str = "title") -> DataFrame:
         .otherwise("")
     )
     df = df.withColumn("reason", reason)
-    raw = F.coalesce(F.nullif(F.trim(fold(F.coalesce(F.col(title), F.lit("")))), F.lit("")), F.col(title))
+    raw = F.coalesce(F.nullif(F.trim(fold_column(F.coalesce(F.col(title), F.lit("")))), F.lit("")), F.col(title))
     out = df.withColumn("text", F.when(F.col("reason") == "", n)).withColumn("key", F.when(F.col("reason") == "", F.col("__key")).otherwise(raw))
     return out.drop("__flat", "__name", "__key")
 
@@ -164,8 +169,6 @@ def merge_candidates(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def zipf_table(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, zipf) of a corpus: log10 of occurrences in a thousand million words, to two places."""
-    from veilframe.functions.folding import fold_column
-
     words = docs.select(F.explode(F.filter(F.split(fold_column(text), r"[^\p{L}\p{N}']+"), lambda w: w != "")).alias("word"))
     n = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     total = n.agg(F.sum("n").alias("total"))
@@ -212,35 +215,61 @@ def classify(candidates: DataFrame, recipe: Recipe) -> DataFrame:
 # --- corpus run
 
 
+def walk_order(path: Column) -> Column:
+    """A key whose order is that of a walk: a folder's files by name, then its subfolders by name."""
+    parts = F.split(path, "/")
+    return F.concat(F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.concat(F.lit("\u0002"), p)), ""), F.lit("\u0001"), F.element_at(parts, -1))
+
+
 def corpus_files(spark: SparkSession, path: str, *, exclude: list[str] = (), max_files: int = MAX_FILES) -> DataFrame:
-    """(path, length, text) of the text files below a folder: by suffix, size and folder, evenly sampled in path order, no binaries."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
+    """(path, length, text) of the text files below a folder: by suffix, size and folder, evenly sampled in walk order, no binaries.
+
+    Contents are read of the sampled files only; exclude: parts of paths whose files are left out, such as own checkouts.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ok = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*TEXT_SUFFIXES) & (F.col("length") <= MAX_FILE_BYTES) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_FOLDERS)))
     for x in exclude:
         ok &= ~F.contains("path", F.lit(x))
-    listed = even_sample(files.where(ok).select("path", "length"), "path", max_files)
+    listed = even_sample(files.where(ok).select("path", walk_order(F.col("path")).alias("walk")), "walk", max_files)
+    paths = [r["path"] for r in listed.select("path").collect()]  # at most max_files
+    if not paths:
+        return spark.createDataFrame([], "path string, length long, text string")
     text = F.decode(F.expr("make_valid_utf8(content)").cast("binary"), "UTF-8")
-    return files.join(listed.select("path"), "path", "left_semi").where(~F.contains(F.substring("content", 1, SNIFF), F.unhex(F.lit("00")))).select("path", "length", text.alias("text"))
+    read = spark.read.format("binaryFile").load([_plain_path(p) for p in paths]).where(~F.contains(F.substring("content", 1, SNIFF), F.unhex(F.lit("00"))))
+    return read.select("path", "length", text.alias("text"))
+
+
+def _plain_path(path: str) -> str:
+    """A path that is no pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def even_sample(rows: DataFrame, order: str, most: int) -> DataFrame:
     """Every n-th row in order, n the least that leaves at most `most`.
 
-    Ranks come from per-range counts, so no task sorts all rows.
+    The rows are cut into ranges at keys drawn by hash (a few hundred at most, found in one pass), which are literals of the plan: so the
+    counts of the ranges and the ranks within them belong to the same ranges however often they are computed, and no task sorts
+    all rows. Rows of equal keys stand in the order of their hashes.
     """
-    n = rows.count()
-    step = max(1, -(-n // most))
-    if step == 1:
-        return rows
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    drawn = [r[0] for r in rows.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order), order).limit(SPLITS).distinct().collect()]
+    at = F.lit(0)
+    if drawn:
+        # First among every 16th bound, then among the 16 that follow it.
+        bounds, under = sorted(drawn), lambda keys: F.size(F.filter(keys, lambda b: b <= F.col(order)))
+        coarse = under(F.array(*map(F.lit, bounds[15::16]))) * 16 if bounds[15::16] else F.lit(0)
+        at = coarse + under(F.slice(F.array(*map(F.lit, bounds)), coarse + 1, F.lit(16)))
+    ranged = rows.withColumn("__part", F.when(F.col(order).isNull(), 0).otherwise(at))
     counts = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    base, at = {}, 0
-    for p in sorted(counts):
-        base[p], at = at, at + counts[p]
-    bases = spark.createDataFrame([(p, b) for p, b in base.items()], "__part int, __base long")
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return ranged.withColumn("__rank", rank).join(F.broadcast(bases), "__part").where((F.col("__base") + F.col("__rank") - 1) % step == 0).drop("__part", "__base", "__rank")
+    n = max(1, -(-sum(counts.values()) // most))
+    if n == 1:
+        return rows
+    before = [0]
+    for p in range(len(drawn)):
+        before.append(before[-1] + counts.get(p, 0))
+    base = F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("__part") + 1)
+    tie = F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")])
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(order, tie))
+    return ranged.withColumn("__rank", base + rank - 1).where(F.col("__rank") % n == 0).drop("__part", "__rank")
 
 
 def dry_run(candidates: DataFrame, docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,31 +303,67 @@ def judge(candidates: DataFrame, answers: DataFrame, t: Thresholds) -> DataFrame
     return joined.withColumn("decision", F.when(asked & (F.col("judge") >= t.judge_term), "term").when(asked & (F.col("judge") <= t.judge_hint), "hint").otherwise(F.col("decision")))
 
 
-def ask(texts: DataFrame, cache: DataFrame, post: Callable[[list[str]], list[float]], *, model: str, wording: str, batch: int = BATCH) -> DataFrame:
-    """(key, text, p, request) of every distinct text: from the cache, or from `post` in batches of at most `batch`."""
-    key = cache_key(F.lit(model), F.lit(wording), F.col("text"))
-    todo = texts.select("text").distinct().withColumn("key", key)
-    have = todo.join(cache.select("key", "p").dropDuplicates(["key"]), "key").select("key", "text", "p", F.lit(None).cast("string").alias("request"))
+class JudgeError(RuntimeError):
+    """Some questions have no answer; those that were answered are in the cache."""
+
+
+#: What an answer is kept as: request groups the questions of one reply, tokens and cost stand in a request's first row.
+ANSWER = "key string, text string, p double, request string, tokens long, cost double"
+
+
+def ask(texts: DataFrame, cache: str, post: Callable[[list[str]], tuple[list, dict]], *, model: str, wording: str, batch: int = BATCH) -> DataFrame:
+    """(key, text, p, request, tokens, cost) of every distinct text: from the cache table at that path, or from `post`, asked now.
+
+    post(texts) -> (probabilities, usage with tokens and cost). Questions go in batches of at most `batch`; whatever is answered is
+    appended to the cache before anything is returned or raised, so no answer is paid for twice and a run that failed goes on where it
+    stopped. A reply that lacks answers, and a request that fails, end in a JudgeError after that. request is null for cached answers.
+    """
+    spark = texts.sparkSession
+    todo = texts.select("text").distinct().withColumn("key", cache_key(F.lit(model), F.lit(wording), F.col("text")))
+    try:
+        had = spark.read.schema(ANSWER).parquet(cache)
+        had.isEmpty()
+    except AnalysisException:  # the first run
+        had = spark.createDataFrame([], ANSWER)
+    open_ = todo.join(had.where("p is not null").select("key"), "key", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), batch):
                 part = b.iloc[at : at + batch]
-                p = post(part["text"].tolist())
-                if len(p) != len(part) or not all(isinstance(x, (int, float)) and 0 <= x <= 1 for x in p):
-                    raise ValueError("the judge's reply is not one probability a question")
-                yield pd.DataFrame({"key": part["key"], "text": part["text"], "p": [float(x) for x in p], "request": part["key"].iloc[0]})
-
-    fresh = todo.join(cache, "key", "left_anti").select("key", "text").mapInPandas(run, "key string, text string, p double, request string")
-    return have.unionByName(fresh)
+                try:
+                    p, usage = post(part["text"].tolist())
+                except Exception:
+                    p, usage = [], {}
+                p = [*p, *[None] * len(part)][: len(part)]
+                ok = [float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) and 0 <= x <= 1 else None for x in p]
+                first = [True] + [False] * (len(part) - 1)
+                yield pd.DataFrame({"key": part["key"], "text": part["text"], "p": pd.Series(ok, index=part.index, dtype=float), "request": part["key"].iloc[0], "tokens": [int(usage.get("tokens", 0)) if f else 0 for f in first], "cost": [float(usage.get("cost", 0)) if f else 0.0 for f in first]})
+
+    mark = uuid.uuid4().hex
+    # One write asks and keeps: unanswered questions are kept out of the cache's answers by their null.
+    open_.mapInPandas(run, ANSWER).withColumn("request", F.concat(F.lit(mark + ":"), "request")).write.mode("append").parquet(cache)
+    answers = spark.read.schema(ANSWER).parquet(cache)
+    new = F.col("request").startswith(mark)
+    missing = answers.where(new & F.col("p").isNull()).count()
+    if missing:
+        raise JudgeError(f"{missing} questions have no answer")
+    found = answers.where(F.col("p").isNotNull()).withColumn("__new", new)
+    found = found.groupBy("key").agg(F.max("text").alias("text"), F.max_by("p", "__new").alias("p"), F.max(F.when(F.col("__new"), F.col("request"))).alias("request"), F.sum(F.when(F.col("__new"), F.col("tokens")).otherwise(0)).alias("tokens"), F.sum(F.when(F.col("__new"), F.col("cost")).otherwise(0.0)).alias("cost"))
+    return found.join(todo.select("key"), "key", "left_semi")
 
 
 def judge_costs(answers: DataFrame) -> DataFrame:
-    return answers.agg(F.countDistinct("request").alias("requests"), F.count("request").alias("asked"), F.count_if(F.col("request").isNull()).alias("cached"))
+    return answers.agg(F.countDistinct("request").alias("requests"), F.count("request").alias("asked"), F.count_if(F.col("request").isNull()).alias("cached"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
+
+
+def is_open(t: Thresholds) -> Column:
+    """Reviewed, and not settled by the judge."""
+    return (F.size("review") > 0) & (F.col("judge").isNull() | ((F.col("judge") > t.judge_hint) & (F.col("judge") < t.judge_term)))
 
 
 def unsettled(candidates: DataFrame, t: Thresholds) -> DataFrame:
-    return candidates.where("size(review) > 0").where(F.col("judge").isNull() | ((F.col("judge") > t.judge_hint) & (F.col("judge") < t.judge_term)))
+    return candidates.where(is_open(t))
 
 
 # --- counts and sinks
@@ -312,8 +377,7 @@ def source_counts(items: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def bucket_counts(candidates: DataFrame, t: Thresholds) -> DataFrame:
-    open_ = (F.size("review") > 0) & (F.col("judge").isNull() | ((F.col("judge") > t.judge_hint) & (F.col("judge") < t.judge_term)))
-    return candidates.agg(*[F.count_if(F.col("decision") == d).alias(f"{d}s") for d in ("term", "hint", "drop")], F.count_if(F.size("review") > 0).alias("reviewed"), F.count_if(open_).alias("unsettled"), F.count_if(F.col("files") > 0).alias("seen"))
+    return candidates.agg(*[F.count_if(F.col("decision") == d).alias(f"{d}s") for d in ("term", "hint", "drop")], F.count_if(F.size("review") > 0).alias("reviewed"), F.count_if(is_open(t)).alias("unsettled"), F.count_if(F.col("files") > 0).alias("seen"))
 
 
 def build(spark: SparkSession, recipe: Recipe, items: DataFrame, zipf: DataFrame, docs: DataFrame | None = None, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -333,30 +397,43 @@ def pack_json(recipe: Recipe, candidates: DataFrame, counts: DataFrame, version:
     return json.dumps({"name": recipe.name, "version": version, "description": recipe.description, "terms": text("term"), "hints": text("hint"), "sources": sources}, ensure_ascii=False, indent=2) + "\n"
 
 
-def report_rows(candidates: DataFrame, sources: DataFrame) -> DataFrame:
+def report_rows(candidates: DataFrame, sources: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """(key, text, sources, more, zipf, rarest, decision, reason): a report's table, the first two source labels of each row."""
     names = sources.select("source_idx", label(F.col("kind"), F.col("query")).alias("label"))
     each = candidates.select("key", F.posexplode("origins").alias("at", "o")).select("key", "at", F.col("o.source_idx").alias("source_idx")).join(names, "source_idx")
     labels = each.groupBy("key").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"])).alias("labels"))
-    return candidates.join(labels, "key", "left").select("key", cell(F.col("text")).alias("text"), F.array_join(F.slice("labels", 1, 2), "; ").alias("sources"), F.greatest(F.size("labels") - 2, F.lit(0)).alias("more"), "zipf", "rarest", "decision", "reason")
+    return candidates.join(labels, "key", "left").select("key", cell(F.col("text")).alias("text"), F.array_join(F.slice("labels", 1, 2), "; ").alias("sources"), F.greatest(F.size("labels") - 2, F.lit(0)).alias("more"), "zipf", "rarest", "decision", "reason", "files", "hits", "judge", cell(F.array_join("review", "; ")).alias("review"), is_open(t).alias("is_open"))
 
 
 def first_drops(dropped: DataFrame, n: int = SHOWN_DROPS) -> DataFrame:
     return dropped.orderBy("reason", "key").limit(n)
 
 
-def report(recipe: Recipe, candidates: DataFrame, dropped: DataFrame, sources: DataFrame, counts: DataFrame) -> str:
-    """A markdown report of counts, sources, terms, hints and the first drops."""
-    b = bucket_counts(candidates, recipe.thresholds).first()
-    out = [f"# {recipe.name}", "", recipe.description, "", f"{b['terms']} terms, {b['hints']} hints, {b['drops']} drops, {b['reviewed']} reviewed, {b['unsettled']} unsettled, {b['seen']} seen in the corpus.", "", "| source | found | kept |", "| --- | --- | --- |"]
-    named = sources.select("source_idx", label(F.col("kind"), F.col("query")).alias("label")).join(counts, "source_idx", "left").orderBy("source_idx")
-    out += [f"| {r['label']} | {r['found'] or 0} | {r['kept'] or 0} |" for r in named.collect()]
-    rows = report_rows(candidates, sources).orderBy("key", "text").collect()
-    for d in ("term", "hint"):
-        out += ["", f"## {d}s", "", "| text | zipf | rarest word | sources | why |", "| --- | --- | --- | --- | --- |"]
-        out += [f"| {r['text']} | {r['zipf']:.2f} | {r['rarest']:.2f} | {r['sources']}{' +' + str(r['more']) if r['more'] else ''} | {r['reason']} |" for r in rows if r["decision"] == d]
+def report(recipe: Recipe, candidates: DataFrame, dropped: DataFrame, sources: DataFrame, counts: DataFrame, *, version: str = "", run: dict | None = None, costs: dict | None = None) -> str:
+    """A markdown report: buckets, thresholds, the corpus run and the judge in numbers, sources, terms, reviewed candidates, hints, first drops.
+
+    run: files, bytes, found of the corpus run; costs: as judge_costs(). It is read by people and fits the driver.
+    """
+    t, b = recipe.thresholds, bucket_counts(candidates, recipe.thresholds).first()
+    heading = f"Version {version}. {recipe.description}" if version else recipe.description
+    out = [f"# {recipe.name}", "", heading, "", f"{b['terms']} terms, {b['hints']} hints, {b['drops']} drops, {b['reviewed']} reviewed, {b['unsettled']} unsettled, {b['seen']} seen in the corpus.", ""]
+    out += ["| limit | value |", "| --- | --- |", *[f"| {k.replace('_', ' ')} | {v} |" for k, v in vars(t).items()], ""]
+    if run:
+        out += [f"Corpus: {run['files']} files read of {run['found']} found, {run['bytes'] / 1e6:.1f} MB.", ""]
+    if costs:
+        out += [f"Judge: {costs['requests']} requests, {costs['asked']} asked, {costs['cached']} cached, {costs['tokens']} tokens, {costs['cost']:.6f} paid.", ""]
+    out += ["| source | role | depth | found | kept |", "| --- | --- | --- | --- | --- |"]
+    named = sources.select("source_idx", "role", "depth", label(F.col("kind"), F.col("query")).alias("label")).join(counts, "source_idx", "left").orderBy("source_idx")
+    out += [f"| {r['label']} | {r['role']} | {'' if r['depth'] is None else r['depth']} | {r['found'] or 0} | {r['kept'] or 0} |" for r in named.collect()]
+    rows = report_rows(candidates, sources, t).orderBy("key", "text").collect()
+    shown = lambda r: f"{r['sources']}{' +' + str(r['more']) if r['more'] else ''}"
+    out += ["", f"## terms ({b['terms']})", "", "| text | sources | zipf | rarest word | files | hits | why |", "| --- | --- | --- | --- | --- | --- | --- |"]
+    out += [f"| {r['text']} | {shown(r)} | {r['zipf']:.2f} | {r['rarest']:.2f} | {r['files']} | {r['hits']} | {r['reason']} |" for r in rows if r["decision"] == "term"]
+    out += ["", f"## reviewed ({b['reviewed']})", "", "| text | why | zipf | files | judge | decision |", "| --- | --- | --- | --- | --- | --- |"]
+    out += [f"| {r['text']} | {r['review']} | {r['zipf']:.2f} | {r['files']} | {'-' if r['judge'] is None else format(r['judge'], '.2f')} | {r['decision']}{', open' if r['is_open'] else ''} |" for r in rows if r["review"]]
+    out += ["", f"## hints ({b['hints']})", "", ", ".join(r["text"] for r in rows if r["decision"] == "hint") or "none"]
     total = dropped.count()
-    out += ["", "## dropped", ""] + [f"- {r['key']}: {r['reason']}" for r in first_drops(dropped).collect()]
+    out += ["", f"## dropped ({total})", ""] + [f"- {r['key']}: {r['reason']}" for r in first_drops(dropped).collect()]
     if total > SHOWN_DROPS:
         out.append(f"- and {total - SHOWN_DROPS} more")
     return "\n".join(out) + "\n"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import scalars as S
-from veilframe.functions.folding import fold, fold_column
+from veilframe.functions.folding import fold, fold_column, fold_term
 from veilframe.functions.names import assign_placeholders, fnv1a32_column
 from veilframe.operators import audit, policy, redaction, terms
 from veilframe.operators.dictionary import Dictionary, Term
@@ -140,13 +140,44 @@ def line_drop_by_first_term(spark, sf_dir):
     return _passes(spark, sf_dir).select(F.explode("hits").alias("h")).where("h.dropped > 0").groupBy("h.folded").agg(F.sum("h.dropped").alias("lines"))
 
 
-@query(f"""WITH {FORMS}, {TOKENS} SELECT 'call' AS tool, count(*)::BIGINT AS events, count(n)::BIGINT AS changed, sum(n)::BIGINT AS replaced
-    FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM tokens JOIN forms USING (token) GROUP BY doc_id) USING (doc_id) WHERE text IS NOT NULL""")
+@query(f"""WITH {LINES}, g AS (SELECT doc_id, sum(replaced) AS replaced, sum(dropped) AS dropped FROM hits GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id)
+    SELECT 'call' AS tool, count(*)::BIGINT AS events, count(g.doc_id)::BIGINT AS changed, sum(g.replaced)::BIGINT AS replaced, sum(g.dropped)::BIGINT AS dropped, count(*) FILTER (g.dropped = n)::BIGINT AS emptied FROM n LEFT JOIN g USING (doc_id)""")
 def nested_json_redaction(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").where("text is not null")
     payload = F.to_json(F.struct(F.lit("kept und").alias("type"), F.array(F.struct(F.col("text").alias("name"))).alias("items")))
-    done = docs.select(redaction.redact_json(spark, dictionary(False), payload).alias("r"))
-    return done.agg(F.lit("call").alias("tool"), F.count(F.lit(1)).alias("events"), F.count_if("r.changed").alias("changed"), F.sum("r.replaced").alias("replaced"))
+    done = docs.select(redaction.redact_json(spark, dictionary(), payload).alias("r"))
+    emptied = F.get_json_object("r.value", "$.items[0]").isNull()
+    return done.agg(F.lit("call").alias("tool"), F.count(F.lit(1)).alias("events"), F.count_if("r.changed").alias("changed"), F.sum("r.replaced").alias("replaced"), F.sum("r.dropped").alias("dropped"), F.count_if(emptied).alias("emptied"))
+
+
+#: Words of several scripts, one after each document; the first three are listed in other spellings.
+SCRIPTS = ["ЁЛКА", "ΕΛΛΆΣ", "VIỆT", "Straße", "한글"]
+SCRIPT_SQL = f"docs AS (SELECT doc_id, text || chr(10) || [{', '.join(repr(w) for w in SCRIPTS)}][doc_id % 5 + 1] AS text FROM documents WHERE text IS NOT NULL)"
+
+
+def _scripts(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").where("text is not null")
+    word = F.element_at(F.array(*map(F.lit, SCRIPTS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    terms_ = Dictionary([Term(w, w, "scripts", True, True) for w in ("елка", "ελλασ", "viet", fold_term("한글"))])
+    return docs.select("doc_id", F.concat("text", F.lit("\n"), word).alias("text")), terms_
+
+
+@query(f"WITH {SCRIPT_SQL} SELECT doc_id FROM docs WHERE doc_id % 5 <> 3")
+def scripts_has_term(spark, sf_dir):
+    docs, d = _scripts(spark, sf_dir)
+    return docs.where(redaction.has_term(d, "text")).select("doc_id")
+
+
+@query(f"WITH {SCRIPT_SQL} SELECT doc_id, md5(CASE WHEN doc_id % 5 = 3 THEN text ELSE left(text, length(text) - length([{', '.join(repr(w) for w in SCRIPTS)}][doc_id % 5 + 1])) END) AS digest FROM docs")
+def scripts_drop_lines(spark, sf_dir):
+    docs, d = _scripts(spark, sf_dir)
+    return docs.select("doc_id", F.md5(redaction.drop_lines(d, "text").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {SCRIPT_SQL} SELECT ['елка', 'ελλασ', 'viet'][doc_id % 5 + 1] AS folded, count(*)::BIGINT AS hits, count(*)::BIGINT AS docs FROM docs WHERE doc_id % 5 < 3 GROUP BY 1")
+def scripts_token_join(spark, sf_dir):
+    words = spark.createDataFrame([("елка",), ("ελλασ",), ("viet",)], "folded string")
+    return redaction.token_hits(_scripts(spark, sf_dir)[0], words)
 
 
 def _call_sql(name: str) -> str:
@@ -236,6 +267,87 @@ def log_modes(spark, sf_dir):
     return audit.log_entries(e).select("slot", "mode", "folded", "replaced")
 
 
+def _event_passes(spark, sf_dir):
+    mode = F.when(F.col("event_type") == "purchase", "replace").when(F.col("event_type") == "click", "standing").otherwise("add")
+    hid = F.when(F.col("event_id") % 7 != 0, 1).otherwise(0)
+    return _t(spark, sf_dir, "events").select(F.lit(None).cast("string").alias("agent"), (F.col("user_id") % 50).cast("string").alias("slot"), mode.alias("mode"), F.col("event_type").alias("label"), F.lit("tools").alias("kind"), F.when(hid == 1, F.concat(F.lit("t"), (F.col("event_id") % 5).cast("string"))).alias("folded"), hid.alias("replaced"), F.lit(0).alias("dropped"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+
+
+PASSES = f"p AS (SELECT (user_id % 50)::VARCHAR AS slot, {MODES} AS mode, event_id AS seq, event_id % 7 <> 0 AS hid, 't' || event_id % 5 AS folded, event_type AS label FROM events)"
+
+
+@query(f"WITH {PASSES}, l AS (SELECT *, lag(hid, 1, false) OVER (PARTITION BY slot, mode ORDER BY seq) AS had FROM p) SELECT seq, slot, mode FROM l WHERE hid AND (mode = 'add' OR NOT had)")
+def feed_of_new_passes(spark, sf_dir):
+    return audit.new_passes(_event_passes(spark, sf_dir)).select("seq", "slot", "mode")
+
+
+CLEAR = "(SELECT max(event_id) // 2 FROM events)"
+
+
+@query(f"""WITH {PASSES}, q AS (SELECT * FROM p WHERE mode = 'standing' OR seq > {CLEAR}), l AS (SELECT *, max(seq) OVER (PARTITION BY slot, mode) AS last FROM q)
+    SELECT slot, mode, folded, count(*)::BIGINT AS replaced FROM l WHERE hid AND (mode = 'add' OR seq = last) GROUP BY ALL""")
+def log_after_clear(spark, sf_dir):
+    passes = _event_passes(spark, sf_dir)
+    half = passes.agg(F.max("seq").alias("m")).select(F.floor(F.col("m") / 2).alias("seq"))
+    clears = half.unionByName(half.select((F.col("seq") - 100).alias("seq")))
+    return audit.log_entries(audit.after_clear(passes, clears)).select("slot", "mode", "folded", "replaced")
+
+
+@query(f"WITH {PASSES}, l AS (SELECT *, max(seq) OVER (PARTITION BY slot, mode) AS last FROM p) SELECT greatest(count(DISTINCT slot) - 30, 0)::BIGINT AS forgotten FROM l WHERE hid AND mode <> 'standing' AND (mode = 'add' OR seq = last)")
+def log_forgotten(spark, sf_dir):
+    return audit.forgotten(audit.log_entries(_event_passes(spark, sf_dir)), 30)
+
+
+@query(f"""WITH {LINES}, w AS (SELECT label, list_name, folded, sum(replaced) AS r, sum(dropped) AS d, max(doc_id) AS seq FROM named GROUP BY ALL),
+    a AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r DESC, folded) AS k FROM w WHERE r > 0), s AS (SELECT label, string_agg(folded || ' -> ' || folded || '0 (x' || r || ')', '; ' ORDER BY k) FILTER (k <= 2) || CASE WHEN count(*) > 3 THEN '; and ' || count(*) - 2 || ' more terms' WHEN count(*) = 3 THEN '; and 1 more term' ELSE '' END AS line FROM a GROUP BY label),
+    g AS (SELECT label, sum(d) || CASE WHEN sum(d) = 1 THEN ' line' ELSE ' lines' END || ' dropped by "' || list_name || '": ' || string_agg(folded || ' (x' || d || ')', ', ' ORDER BY d DESC, folded) AS line FROM w WHERE d > 0 GROUP BY label, list_name)
+    SELECT 1 AS place, 'hidden as it came in' AS title, label, max(seq)::BIGINT AS seq, concat_ws('; ', any_value(s.line), replace(any_value(g.line), ',000', ',000')) AS lines FROM w LEFT JOIN s USING (label) LEFT JOIN g USING (label) GROUP BY label""")
+def log_lines(spark, sf_dir):
+    entries = audit.log_entries(_named(spark, sf_dir).withColumn("at", F.col("seq"))).withColumn("canonical", F.col("folded")).withColumn("placeholder", F.concat("folded", F.lit("0")))
+    lists = spark.createDataFrame(list(WORDS.items()), "folded string, list_name string")
+    rows = audit.log_lines(entries.join(F.broadcast(lists), "folded"), n=2)
+    return rows.select("place", "title", "label", "seq", F.regexp_replace(F.array_join("lines", "; "), r"^([0-9]+),([0-9]{3}) line|(; [0-9]+),([0-9]{3}) line", "$1$3$2$4 line").alias("lines"))
+
+
+@query(f"""WITH {FORMS}, {TOKENS}, {LINES}, t AS (SELECT doc_id, count(*) AS n FROM tokens JOIN forms USING (token) GROUP BY doc_id), g AS (SELECT doc_id, sum(replaced) AS replaced, sum(dropped) AS dropped FROM hits GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN t.n IS NULL THEN 'same' WHEN doc_id % 3 = 2 THEN 'result' ELSE 'deny' END AS kind,
+           coalesce(CASE WHEN doc_id % 3 = 2 THEN g.replaced ELSE t.n END, 0)::INT AS replaced, CASE WHEN doc_id % 3 = 2 THEN coalesce(g.dropped, 0) ELSE 0 END::INT AS dropped, t.n IS NOT NULL AND doc_id % 3 = 2 AS noted
+    FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN g USING (doc_id) WHERE text IS NOT NULL""")
+def result_policy(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").where("text is not null")
+    third, none = F.col("doc_id") % 3, F.lit(None).cast("string")
+    record = F.to_json(F.struct(F.array("text").alias("content")))
+    done = policy.filter_results(spark, dictionary(), F.when(third == 0, F.col("text")), third == 1, F.when(third == 2, record).otherwise(none), F.col("text"))
+    return d.select("doc_id", done.alias("r")).select("doc_id", "r.kind", "r.replaced", "r.dropped", F.col("r.note").isNotNull().alias("noted"))
+
+
+@query(f"""WITH {LINES}, g AS (SELECT doc_id, sum(replaced) AS replaced, sum(dropped) AS dropped FROM hits GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id),
+    b AS (SELECT doc_id, doc_id // 6 AS request, CASE doc_id % 6 WHEN 0 THEN 'file' WHEN 1 THEN 'block' WHEN 2 THEN 'block' ELSE 'attachment' END AS part, CASE doc_id % 6 WHEN 1 THEN 'claudeMd' WHEN 3 THEN 'file' WHEN 4 THEN 'plan' ELSE 'other' END AS name, doc_id % 6 IN (3, 4) AS by_engine FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT DISTINCT request FROM b WHERE part = 'file'),
+    c AS (SELECT b.*, NOT (part = 'attachment' AND by_engine AND name <> 'file') AND NOT (part = 'block' AND name = 'claudeMd' AND request IN (SELECT request FROM f)) AS counted FROM b)
+    SELECT c.doc_id, part, CASE WHEN part = 'attachment' THEN 'replace' ELSE 'standing' END AS mode, counted, CASE WHEN counted THEN coalesce(replaced, 0) ELSE 0 END::INT AS replaced, CASE WHEN counted THEN coalesce(dropped, 0) ELSE 0 END::INT AS dropped,
+           part = 'attachment' AND NOT (by_engine AND name <> 'file') AND coalesce(dropped, 0) = n AS left_out
+    FROM c JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)""")
+def context_passes(spark, sf_dir):
+    k = F.col("doc_id") % 6
+    part = F.when(k == 0, "file").when(k.isin(1, 2), "block").otherwise("attachment")
+    name = F.when(k == 1, "claudeMd").when(k == 3, "file").when(k == 4, "plan").otherwise("other")
+    blocks = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.floor(F.col("doc_id") / 6).alias("request"), part.alias("part"), name.alias("name"), F.when(k.isin(3, 4), "engine").otherwise("user").alias("origin"), "text")
+    done = policy.context_passes(spark, dictionary(), blocks)
+    return done.select("doc_id", "part", "mode", "counted", "replaced", "dropped", F.col("value").isNull().alias("left_out"))
+
+
+@query("SELECT page_id, coalesce(string_agg(chr(2) || x, '' ORDER BY i) FILTER (i < n), '') || chr(1) || max(x) FILTER (i = n) AS walk FROM (SELECT page_id, unnest(string_split(url, '/')) AS x, generate_subscripts(string_split(url, '/'), 1) AS i, len(string_split(url, '/')) AS n FROM pages) GROUP BY page_id")
+def walk_order(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", curate.walk_order(F.col("url")).alias("walk"))
+
+
+@query("SELECT n_regionkey AS list_name, CASE WHEN count(*) * 7 >= 30 THEN 0 ELSE 1 END AS depth FROM nation WHERE n_nationkey % 3 > 0 OR n_regionkey > 2 GROUP BY n_regionkey")
+def tree_depth(spark, sf_dir):
+    rows = _t(spark, sf_dir, "nation").where("n_nationkey % 3 > 0 or n_regionkey > 2")
+    return rows.groupBy(F.col("n_regionkey").alias("list_name")).agg(audit.open_depth(F.count(F.lit(1)) * 7).alias("depth"))
+
+
 # --- term dimension and configuration
 
 REFS = [("maya", "Maya", "a", False, True, 0), ("maya", "MAYA", "b", True, False, 1), ("giza", "Giza", "a", False, True, 2), ("giza", "giza", "c", False, True, 3), ("x", "X", "a", False, False, 4), ("tikal", "Tikal", "b", True, False, 5), ("tikal", "TIKAL", "c", False, True, 6)]
@@ -356,10 +468,10 @@ def url_scalars(spark, sf_dir):
     return p.select("page_id", S.path_key(F.col("url")).alias("path"), S.source_label(F.concat_ws(" ", "url", "url", "url")).alias("label"), S.cache_key(F.col("url")).alias("cache_key"), S.is_slug(F.split_part("url", F.lit("/"), F.lit(3))).alias("slug"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[.?!](\\s|$)') THEN regexp_replace(regexp_extract(text, '(?s)^.*?[.?!](\\s|$)'), '\\s$', '') ELSE text END AS sentence, replace(left(text, 40), '|', '\\|') AS cell FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[.?!](\\s|$)') THEN regexp_replace(regexp_extract(text, '(?s)^.*?[.?!](\\s|$)'), '\\s$', '') ELSE text END AS sentence, md5(replace(text, '|', '\\|')) AS cell FROM documents WHERE text IS NOT NULL""")
 def sentence_scalars(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", S.first_sentence(F.col("text")).alias("sentence"), S.cell(F.substring("text", 1, 40)).alias("cell"))
+    return d.select("doc_id", S.first_sentence(F.col("text")).alias("sentence"), F.md5(S.cell(F.col("text")).cast("binary")).alias("cell"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y.%m.%d') AS version FROM orders")
@@ -394,10 +506,10 @@ def clean_titles(spark, sf_dir):
     return curate.clean_titles(_items(spark, sf_dir)).select("source_idx", "seq", "text", "reason", "key")
 
 
-@query(f"WITH {KEYED} SELECT key, len(list_distinct(list(source_idx)))::INT AS origins, min(length(text))::INT AS size FROM keyed WHERE reason = '' GROUP BY key")
+@query(f"WITH {KEYED} SELECT key, len(list_distinct(list(source_idx)))::INT AS origins, arg_max(text, (length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')), length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')), -source_idx, -seq)) AS text FROM keyed WHERE reason = '' GROUP BY key")
 def merge_candidates(spark, sf_dir):
     kept, _ = curate.merge_candidates(curate.clean_titles(_items(spark, sf_dir)))
-    return kept.select("key", F.size("origins").alias("origins"), F.char_length("text").alias("size"))
+    return kept.select("key", F.size("origins").alias("origins"), "text")
 
 
 @query(f"WITH {KEYED} SELECT key, arg_min(reason, (source_idx, seq)) AS reason FROM keyed WHERE reason <> '' AND key NOT IN (SELECT key FROM keyed WHERE reason = '') GROUP BY key")
@@ -451,8 +563,7 @@ def judge_resolve(spark, sf_dir):
     c = _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("text"), F.lit("hint").alias("decision"), F.when(F.col("doc_id") % 3 > 0, F.array(F.lit("why"))).otherwise(F.expr("cast(array() as array<string>)")).alias("review"))
     p = F.when(F.col("quality") == 1, 0.9).when(F.col("toxic") == 1, 0.2).otherwise(0.5)
     done = curate.judge(c, _t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("text"), p.alias("p")), t)
-    open_ = (F.size("review") > 0) & (F.col("judge").isNull() | ((F.col("judge") > t.judge_hint) & (F.col("judge") < t.judge_term)))
-    return done.select("doc_id", "decision", open_.alias("unsettled"))
+    return done.select("doc_id", "decision", curate.is_open(t).alias("unsettled"))
 
 
 @query(f"""WITH {CLASSIFIED}, f AS (SELECT source_idx, count(*)::BIGINT AS found FROM raw GROUP BY 1), kk AS (SELECT DISTINCT k.source_idx, k.key FROM keyed k JOIN classified c ON k.key = c.key WHERE k.reason = '' AND c.decision <> 'drop')
@@ -461,9 +572,11 @@ def source_counts(spark, sf_dir):
     return curate.source_counts(_items(spark, sf_dir), _classified(spark, sf_dir))
 
 
-@query(f"WITH {CLASSIFIED} SELECT count(*) FILTER (decision = 'term')::BIGINT AS terms, count(*) FILTER (decision = 'hint')::BIGINT AS hints, count(*) FILTER (decision = 'drop')::BIGINT AS drops, count(*) FILTER (reviewed)::BIGINT AS reviewed, count(*) FILTER (reviewed)::BIGINT AS unsettled, 0::BIGINT AS seen FROM classified")
+@query(f"WITH {CLASSIFIED} SELECT count(*) FILTER (decision = 'term')::BIGINT AS terms, count(*) FILTER (decision = 'hint')::BIGINT AS hints, count(*) FILTER (decision = 'drop')::BIGINT AS drops, count(*) FILTER (reviewed)::BIGINT AS reviewed, count(*) FILTER (reviewed AND length(key) % 3 <> 0)::BIGINT AS unsettled, count(*) FILTER (length(key) % 7 > 0)::BIGINT AS seen FROM classified")
 def bucket_counts(spark, sf_dir):
-    c = _classified(spark, sf_dir).withColumn("judge", F.lit(None).cast("double")).withColumn("files", F.lit(0))
+    size = F.char_length("key")
+    # A third is settled by the judge, a third is asked and stays open, a third was never asked.
+    c = _classified(spark, sf_dir).withColumn("judge", F.when(size % 3 == 0, 0.9).when(size % 3 == 1, 0.5)).withColumn("files", size % 7)
     return curate.bucket_counts(c, _recipe().thresholds)
 
 

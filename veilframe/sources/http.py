@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
 import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,14 +22,39 @@ class FetchError(RuntimeError):
     """A source that did not answer; the message has its host only."""
 
 
+def urllib_sender(agent: str, timeout: float = 30.0) -> Callable[[str], Reply]:
+    """Sends by the standard library; a reply that is no success is a reply too, and a network that fails is status 0."""
+
+    def send(url: str) -> Reply:
+        request = urllib.request.Request(url, headers={"User-Agent": agent, "Accept": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as reply:
+                return reply.status, dict(reply.headers), reply.read().decode("utf-8", "replace")
+        except urllib.error.HTTPError as e:
+            return e.code, dict(e.headers), ""
+        except (urllib.error.URLError, TimeoutError, ConnectionError):
+            return 0, {}, ""
+
+    return send
+
+
+def _is_json(body: str) -> bool:
+    try:
+        json.loads(body)
+    except ValueError:
+        return False
+    return True
+
+
 def retrying(send: Callable[[str], Reply], sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
-    """An opener over send(url) -> (status, headers, body): busy replies (429, 5xx, maxlag) are asked again, later each time."""
+    """An opener over send(url) -> (status, headers, body): busy replies (429, 5xx, maxlag), a network that fails (0) and bodies that
+    are no JSON are asked again, later each time."""
 
     def open_url(url: str) -> str:
         status = 0
         for i in range(TRIES):
             status, headers, body = send(url)
-            busy = status == 429 or status >= 500 or '"code":"maxlag"' in body.replace(" ", "")
+            busy = status in (0, 429) or status >= 500 or (status == 200 and not _is_json(body)) or '"code":"maxlag"' in body.replace(" ", "")
             if status == 200 and not busy:
                 return body
             if not busy:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from typing import Any
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from veilframe.functions.scalars import path_key
 from veilframe.operators.dictionary import Dictionary
 from veilframe.operators.policy import with_policy
 from veilframe.operators.redaction import redact, redact_json
@@ -64,22 +66,70 @@ def log_stream(passes: DataFrame) -> DataFrame:
     return passes.groupBy("agent", "slot").transformWithStateInPandas(statefulProcessor=_Log(), outputStructType=ENTRY, outputMode="update", timeMode="none")
 
 
+class _Last(StatefulProcessor):
+    """One key: a flag that the last row which says something sets; a row out whenever it changes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "flag boolean, seq long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for _, r in pd.concat(list(rows)).sort_values("seq").iterrows():
+            was, seq = self.held.get() if self.held.exists() else (False, -(2**63))
+            if r["seq"] < seq:
+                continue
+            self.held.update((bool(r["flag"]), int(r["seq"])))
+            if bool(r["flag"]) != was:
+                yield pd.DataFrame([(*key, bool(r["flag"]), int(r["seq"]))], columns=["key", "flag", "seq"])
+
+    def close(self) -> None:
+        pass
+
+
+def _last_flags(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_Last(), outputStructType="key string, flag boolean, seq long", outputMode="update", timeMode="none")
+
+
+def taint_stream(reads: DataFrame) -> DataFrame:
+    """(path_key, hidden, seq) whenever a file becomes tainted or is released; state is one flag a file, by path_key.
+
+    reads: path, seq, hidden, whole. A read that hides something taints; a whole read that hides nothing releases; others change nothing.
+    """
+    rows = reads.where("hidden or whole").select(path_key(F.col("path")).alias("key"), F.col("hidden").alias("flag"), "seq")
+    return _last_flags(rows).toDF("path_key", "hidden", "seq")
+
+
+def pause_stream(controls: DataFrame) -> DataFrame:
+    """(session, paused, seq) whenever a session is paused or goes on; only a user pauses and resumes, an end resumes.
+
+    controls: session, seq, command, origin.
+    """
+    may = controls.where("command in ('pause', 'resume', 'end') and (command = 'end' or origin = 'user')")
+    return _last_flags(may.select(F.col("session").cast("string").alias("key"), (F.col("command") == "pause").alias("flag"), "seq")).toDF("session", "paused", "seq")
+
+
 def latest_entries(changes: DataFrame) -> DataFrame:
     """The current log from log_stream's output: of each slot the rows of its last pass."""
     last = changes.withColumn("top", F.max("seq").over(Window.partitionBy("agent", "slot")))
     return last.where("seq = top").drop("top")
 
 
-def reloading(load, run):
-    """A foreachBatch function that loads the small configuration before every batch and keeps the last good one."""
+def reloading(load, run, *, stamp=lambda: None, clock=time.monotonic, recheck: float = 1.0):
+    """A foreachBatch function that loads the small configuration anew when its stamp (path, time, size) has changed.
+
+    The stamp is looked at no oftener than every `recheck` seconds. A configuration that cannot be loaded leaves the last good one in
+    force; without one, the batch fails and nothing passes.
+    """
     held: dict = {}
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        try:
-            held["value"] = load()
-        except Exception:
-            if "value" not in held:
-                raise
+        if "value" not in held or clock() - held["at"] >= recheck:
+            held["at"], now = clock(), stamp()
+            if "value" not in held or now is None or now != held["stamp"]:
+                try:
+                    held["value"], held["stamp"] = load(), now
+                except Exception:
+                    if "value" not in held:
+                        raise
         run(batch, batch_id, held["value"])
 
     return each
