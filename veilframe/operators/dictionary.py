@@ -55,9 +55,10 @@ class Dictionary:
         self.terms = {t.folded: t for t in terms}
         self.by_name = {t.placeholder: t for t in terms if t.placeholder}
         self._machine = None
+        self._held: tuple = (None, [])
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "by_name": self.by_name, "_machine": None}
+        return {"terms": self.terms, "by_name": self.by_name, "_machine": None, "_held": (None, [])}
 
     @property
     def machine(self):
@@ -100,20 +101,26 @@ class Dictionary:
                 out.append((begin, begin - size, key, extra))
         return out
 
+    def read(self, text: str) -> list[tuple[int, int, str, int]]:
+        """matches() of the folded text; the last text's are held, as testing, dropping and replacing ask for the same one after another."""
+        if self._held[0] is not text:
+            self._held = (text, self.matches(fold_text(text)))
+        return self._held[1]
+
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, folded term, suffix as written) in code points of the text."""
-        folded = fold_text(text)
-        if not self.matches(folded):
+        found = self.read(text)
+        if not found:
             return []
-        folded, begin, end = fold_spans(text)
-        return [(begin[a], end[b + extra - 1], key, text[begin[b] : end[b + extra - 1]] if extra else "") for a, b, key, extra in self.matches(folded)]
+        _, begin, end = fold_spans(text)
+        return [(begin[a], end[b + extra - 1], key, text[begin[b] : end[b + extra - 1]] if extra else "") for a, b, key, extra in found]
 
     def test(self, text: str) -> bool:
-        return bool(self.matches(fold_text(text)))
+        return bool(self.read(text))
 
     def count(self, text: str) -> dict[str, int]:
         out: dict[str, int] = {}
-        for _, _, key, _ in self.matches(fold_text(text)):
+        for _, _, key, _ in self.read(text):
             out[key] = out.get(key, 0) + 1
         return out
 
@@ -130,7 +137,7 @@ class Dictionary:
     def rewrite(self, text: str, tally: Tally, allow_drop: bool = True) -> tuple[str, bool, bool]:
         """(value, changed, vanished) of one text."""
         kept = text
-        if allow_drop and any(self.terms[k].drop for _, _, k, _ in self.matches(fold_text(text))):
+        if allow_drop and any(self.terms[k].drop for _, _, k, _ in self.read(text)):
             lines = _LINES.findall(text)
             stay = []
             for line in lines:

@@ -117,8 +117,11 @@ def lines_of(text: Column | str) -> Column:
 
 
 def drop_lines(d: Dictionary, text: Column | str) -> Column:
-    """The text without lines that hold one of d's terms, in the JVM; for dictionaries of dropping lists only."""
-    return F.array_join(F.filter(lines_of(text), lambda x: ~has_term(d, x)), "")
+    """The text without lines that hold one of d's terms, in the JVM; for dictionaries of dropping lists only.
+
+    A text is tested whole at first, so that only those with a term are folded line by line.
+    """
+    return F.when(has_term(d, text), F.array_join(F.filter(lines_of(text), lambda x: ~has_term(d, x)), "")).otherwise(_col(text))
 
 
 def term_hits(docs: DataFrame, d: Dictionary, *, key: str = "doc_id", text: str = "text") -> DataFrame:
