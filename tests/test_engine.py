@@ -2,12 +2,13 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilframe.api import Redactor
-from veilframe.operators import policy
+from veilframe.operators import policy, redaction
 from veilframe.operators.dictionary import Dictionary
 from veilframe.plans import curate
 from veilframe.sources import config as C
@@ -284,3 +285,25 @@ def test_streams(spark, redactor, tmp_path):
         q.awaitTermination()
     assert {tuple(r) for r in spark.table("reads").collect()} == {("a/f", True, 1), ("b", True, 3), ("b", False, 4)}
     assert {tuple(r) for r in spark.table("controls").collect()} == {("s", True, 2), ("t", True, 4), ("t", False, 5)}
+
+
+def test_ngrams_of_a_long_text_take_time_in_proportion(spark):
+    listed = ["la", "of the", "the", "in the house", "the house of", "house"]
+    words = [["of", "the", "house", "in", "la", "x"][(i * i + i // 7) % 6] for i in range(60_000)]
+    held = set(listed)
+
+    def plain(ws):
+        out, i = [], 0
+        while i < len(ws):
+            n = next((n for n in (3, 2, 1) if i + n <= len(ws) and " ".join(ws[i : i + n]) in held), 0)
+            if n:
+                out.append((i, n, " ".join(ws[i : i + n])))
+            i += n or 1
+        return out
+
+    texts = {1: " ".join(words), 2: "In  the-HOUSE of the", 3: "the", 4: "", 5: None, 6: "of"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    begun = time.monotonic()
+    got = {r["doc_id"]: [tuple(m) for m in r["matches"]] for r in redaction.ngram_find(docs, spark.createDataFrame([(w,) for w in listed], "folded string"), words=3).collect()}
+    assert time.monotonic() - begun < 25
+    assert got == {1: plain(words), 2: [(0, 3, "in the house"), (3, 2, "of the")], 3: [(0, 1, "the")]}

@@ -12,8 +12,10 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from veilframe.functions.folding import fold_column
 from veilframe.operators.dictionary import Dictionary, Tally
@@ -21,6 +23,7 @@ from veilframe.operators.dictionary import Dictionary, Tally
 SPANS = "array<struct<start:int,end:int,folded:string,suffix:string>>"
 #: Terms that may be broadcast as rows of a join.
 BROADCAST_TERMS = 200_000
+MATCHES = "array<struct<at:int,words:int,folded:string>>"
 HITS = "array<struct<folded:string,replaced:int,dropped:int>>"
 REWRITTEN = f"struct<value:string,changed:boolean,vanished:boolean,replaced:int,dropped:int,hits:{HITS},error:string>"
 
@@ -159,15 +162,41 @@ def ngram_find(docs: DataFrame, terms: DataFrame, *, key: str = "doc_id", text:
     """(key, matches array<struct<at,words,folded>>): leftmost longest matches of word-only terms by an n-gram join.
 
     For dictionaries too large to compile: n-grams of up to `words` words meet the terms in an equi-join, and each
-    document's candidates are resolved in order of place and length.
+    document's candidates are resolved in order of place and length. A place is a row of its own `words` words and never holds the text,
+    so memory and time are in proportion to a text's length.
     """
     tokens = docs.select(key, F.filter(F.split(fold_column(text), r"[^\p{L}\p{N}']+"), lambda w: w != "").alias("t"))
-    grams = tokens.select(key, "t", F.posexplode("t").alias("at", "w")).select(key, "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("t") - F.col("at"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("t", F.col("at") + 1, n), " ").alias("gram")))).alias("g"))
+    following = F.arrays_zip(*[F.slice("t", n + 1, F.size("t")).alias(f"w{n}") for n in range(words)])
+    places = tokens.select(key, F.posexplode(following).alias("at", "w"))
+    # Beyond a text's end the words are null, so the gram is null and joins nothing.
+    spelt = [F.concat(*[x for i in range(n) for x in (F.lit(" "), F.col(f"w.w{i}"))][1:]) for n in range(1, words + 1)]
+    grams = places.select(key, "at", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), gram.alias("gram")) for n, gram in enumerate(spelt, 1)])).alias("g"))
     found = grams.select(key, "at", F.col("g.n").alias("n"), F.col("g.gram").alias("folded")).join(checked_side(terms.select("folded").distinct())[0], "folded")
     ordered = F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("neg"), "folded")))
-    empty = F.expr("cast(array() as array<struct<at:int,words:int,folded:string>>)")
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x["at"] >= F.element_at(acc, -1)["at"] + F.element_at(acc, -1)["words"]), F.concat(acc, F.array(F.struct(x["at"].alias("at"), (-x["neg"]).alias("words"), x["folded"].alias("folded"))))).otherwise(acc)
-    return found.groupBy(key).agg(ordered.alias("c")).select(key, F.aggregate("c", empty, step).alias("matches"))
+    candidates = found.groupBy(key).agg(ordered.alias("matches"))
+    schema = StructType([candidates.schema[key], StructField("matches", DataType.fromDDL(MATCHES))])
+    return candidates.mapInArrow(_without_overlap, schema)
+
+
+def _without_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row's candidates (at, -words, folded), in order of place and length, those that begin where the last one taken has ended."""
+    for b in batches:
+        found = b.column(1)
+        flat, sizes = found.flatten(), found.value_lengths().to_pylist()
+        at, words = flat.field(0).to_numpy(), -flat.field(1).to_numpy()
+        begins, ends = at.tolist(), (at + words).tolist()
+        kept, offsets, first = [], [0], 0
+        for size in sizes:
+            free = 0
+            for j in range(first, first + size):
+                if begins[j] >= free:
+                    free = ends[j]
+                    kept.append(j)
+            first += size
+            offsets.append(len(kept))
+        folded = flat.field(2).take(pa.array(kept, pa.int64()))
+        taken = pa.StructArray.from_arrays([pa.array(at[kept], pa.int32()), pa.array(words[kept], pa.int32()), folded], ["at", "words", "folded"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), taken)], [b.schema.names[0], "matches"])
 
 
 def register_functions(spark: SparkSession, d: Dictionary) -> None:
