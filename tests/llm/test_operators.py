@@ -828,6 +828,21 @@ def test_ids_equal_the_ranks_own(spark, tok):
     assert bpe.token_digests(spark, rows.limit(0), tok).count() == 0 and bpe.decode_documents(spark, bpe.encode_documents(spark, clash.limit(0), tok), tok).count() == 0
 
 
+def test_bpe_asks_once_for_frequent_matches(tok, monkeypatch):
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(tok.ranks), special_tokens={})
+    t, asked = tok.tools, Counter()
+    t.clear()
+    learn = t.learn
+    monkeypatch.setattr(bpe, "CACHE", 60)
+    monkeypatch.setattr(t, "learn", lambda new: (asked.update(new), learn(new)))
+    for i in range(30):
+        text = " common" * 5 + " wörd😀" * 3 + "".join(f" n{chr(97 + i % 26)}{chr(97 + j)}{i}" for j in range(20)) + "\u0e33\U0001f9ff"
+        (e,) = tok.encode_all([text])
+        assert e.ids.tolist() == own.encode_ordinary(text) and tok.decode(e.ids.tolist()).decode() == text and bpe.spans(e, len(text))
+    t.clear()
+    assert asked[" common"] == asked[" w\u00f6rd"] == 1
+
+
 def test_bpe_query(spark, tok):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(tok.ranks), special_tokens={})
     text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect()}

@@ -2,8 +2,8 @@
 
 The ranks are turned into the vocabulary and merges of a byte-level tokenizer: each byte is a printable character, and a rank's
 merge is the pair that its bytes come down to under the lower ranks. Texts are split by the pattern in Python, whose regex engine
-gives the matches that the ranks' own encoder gives, and each distinct match goes through the tokenizers library once a worker, with its
-offsets. Defined results: a null text is empty; an empty text has no ids; special tokens in a text are ordinary text; repeated and equal rows get
+gives the matches that the ranks' own encoder gives, and each distinct match goes through the tokenizers library once a worker; offsets
+follow from the bytes of the ids. Defined results: a null text is empty; an empty text has no ids; special tokens in a text are ordinary text; repeated and equal rows get
 equal ids; very long texts are encoded whole; an empty table gives no rows; further columns stay, but for those that the result's
 names replace.
 """
@@ -29,6 +29,8 @@ from .textkit import chunks
 
 #: Matches whose ids a worker keeps.
 CACHE = 150_000
+#: Matches given to the tokenizer in one call.
+TOGETHER = 1000
 
 
 def byte_characters() -> list[str]:
@@ -62,7 +64,7 @@ def build_tokenizer(data: bytes, pattern: str | None):
     ranks = read_ranks(data)
     char = byte_characters()
     name = lambda b: "".join(char[x] for x in b)
-    model = models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=[(name(a), name(b)) for a, b in merges_of(ranks)], cache_capacity=20_000)
+    model = models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=[(name(a), name(b)) for a, b in merges_of(ranks)], cache_capacity=0)
     tok = Tokenizer(model)
     bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     tok.pre_tokenizer = bytewise if pattern is None else pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), bytewise])
@@ -70,49 +72,59 @@ def build_tokenizer(data: bytes, pattern: str | None):
 
 
 class _Tools:
-    """What a worker process builds once: the tokenizer, the reversed byte table, and the matches met so far.
+    """What a worker process builds once: the tokenizer, the bytes of every id, and the matches met so far.
 
-    The ids, starts and ends (code points within the match) of all matches lie one behind the other in the rows of `flat`; `at`
-    has a match's number, `first` where it begins there, `said` its ids in decimal.
+    The ids of all matches lie one behind the other in `flat`; `at` has a match's number, `first` where it begins there.
     """
 
     def __init__(self, ranks: bytes, pattern: str):
         self.tok = build_tokenizer(ranks, None)
         self.find = regex.compile(pattern).findall
-        char = byte_characters()
-        by_rank = {r: "".join(char[x] for x in t) for t, r in read_ranks(ranks).items()}
-        self.token = [by_rank.get(i, "") for i in range(max(by_rank) + 1)]
-        self.byte = np.zeros(512, np.uint8)
-        self.byte[[ord(c) for c in char]] = np.arange(256)
+        by_rank = {r: t for t, r in read_ranks(ranks).items()}
+        self.token = [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
+        self.width = np.fromiter(map(len, self.token), np.int64, len(self.token))
         self.name = [str(i) for i in range(len(self.token))]
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.said: list[str] = []
-        self.flat = np.zeros((3, 1 << 16), np.int32)
-        self.first, self.chars = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.first = np.zeros(1, np.int64)
+        self.uses = np.zeros(1, np.int64)
+
+    def thin(self, kept: int) -> None:
+        """Forget all but the matches met most often; what they were met counts half from here on."""
+        n = len(self.at)
+        if n <= kept:
+            return
+        stay = np.sort(np.argpartition(-self.uses[:n], kept)[:kept])
+        size = self.first[stay + 1] - self.first[stay]
+        behind = np.concatenate([[0], np.cumsum(size)])
+        names = list(self.at)
+        self.at = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.flat = self.flat[np.arange(behind[-1]) + np.repeat(self.first[stay] - behind[:-1], size)]
+        self.first, self.uses = behind, self.uses[stay] >> 1
+
+    def met(self, number: np.ndarray) -> None:
+        n = len(self.at)
+        self.uses = np.bincount(number, minlength=n) + np.pad(self.uses[:n], (0, max(0, n - len(self.uses))))
 
     def learn(self, new: list[str]) -> None:
-        if not new:
-            return
-        size: list[int] = []
-        flat_ids: list[int] = []
-        places: list[tuple[int, int]] = []
-        for e in self.tok.encode_batch(new, add_special_tokens=False):
-            ids = e.ids
-            size.append(len(ids))
-            flat_ids += ids
-            places += e.offsets
-            self.said.append(" ".join([self.name[i] for i in ids]))
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        begin, total = int(self.first[-1]), int(self.first[-1]) + len(flat_ids)
-        while total > self.flat.shape[1]:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)], 1)
-        self.flat[0, begin:total] = flat_ids
-        self.flat[1:, begin:total] = np.fromiter(chain.from_iterable(places), np.int32, 2 * len(places)).reshape(-1, 2).T
-        self.first = np.concatenate([self.first, begin + np.cumsum(size)])
-        self.chars = np.concatenate([self.chars, np.fromiter(map(len, new), np.int64, len(new))])
+        """Each match is merged by itself; as an id's bytes are known, the ids of many come back in one piece and are parted by bytes."""
+        for i in range(0, len(new), TOGETHER):
+            part = new[i : i + TOGETHER]
+            ids = np.array(self.tok.encode(part, is_pretokenized=True, add_special_tokens=False).ids, np.int32)
+            stops = np.cumsum([len(p.encode()) for p in part])
+            begin = int(self.first[len(self.at)])
+            total = begin + len(ids)
+            n = len(self.at)
+            if total > len(self.flat):
+                self.flat = np.pad(self.flat, (0, total))
+            if n + len(part) >= len(self.first):
+                self.first = np.pad(self.first, (0, n + len(part)))
+            self.flat[begin:total] = ids
+            self.first[n + 1 : n + 1 + len(part)] = begin + 1 + np.searchsorted(np.cumsum(self.width[ids]), stops)
+            self.at.update(zip(part, range(n, n + len(part))))
 
 
 class Encoded(NamedTuple):
@@ -139,39 +151,51 @@ class ByteBpe:
 
     def encode_all(self, texts: list[str | None]) -> Iterator[Encoded]:
         """Each text encoded. Matches of the pattern repeat, so the tokenizer is given each new match once: its answers are kept for
-        CACHE matches, then the cache starts anew."""
+        CACHE matches, then for the half of them met most often."""
         t = self.tools
         for _, held in chunks(texts, 1 << 19):
             split = [t.find(x) for x in held]
             new = list({p for pieces in split for p in pieces if p not in t.at})
             if len(t.at) + len(new) > CACHE:
-                t.clear()
-                new = list({p for pieces in split for p in pieces})
+                t.thin(CACHE // 2)
+                new = list({p for pieces in split for p in pieces if p not in t.at})
             t.learn(new)
-            for text, pieces in zip(held, split):
-                number = np.fromiter(map(t.at.__getitem__, pieces), np.int64, len(pieces))
-                length = t.chars[number]
-                if int(length.sum()) != len(text):
-                    raise ValueError("the pattern leaves parts of a text unmatched")
-                many = t.first[number + 1] - t.first[number]
-                place = np.arange(int(many.sum())) + np.repeat(t.first[number] - (np.cumsum(many) - many), many)
-                begin = np.repeat(np.cumsum(length) - length, many)
-                ids, starts, ends = t.flat[:, place]
-                yield Encoded(ids, starts + begin, ends + begin, " ".join(map(t.said.__getitem__, number.tolist())))
+            number = np.fromiter(map(t.at.__getitem__, chain.from_iterable(split)), np.int64)
+            t.met(number)
+            many = t.first[number + 1] - t.first[number]
+            behind = np.concatenate([[0], np.cumsum(many)])
+            ids = t.flat[np.arange(behind[-1]) + np.repeat(t.first[number] - behind[:-1], many)]
+            data = [x.encode() for x in held]
+            stop = np.cumsum(t.width[ids])
+            last = behind[np.cumsum([0, *map(len, split)])]
+            if not np.array_equal(np.concatenate([[0], stop])[last], np.cumsum([0, *map(len, data)])):
+                raise ValueError("the pattern leaves parts of a text unmatched")
+            starts, ends = _characters(b"".join(data), stop - t.width[ids], stop)
+            base = 0
+            for text, i, j in zip(held, last[:-1].tolist(), last[1:].tolist()):
+                own = ids[i:j]
+                yield Encoded(own, starts[i:j] - base, ends[i:j] - base, " ".join(map(t.name.__getitem__, own.tolist())))
+                base += len(text)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         return [e.ids.tolist() for e in self.encode_all(texts)]
 
     def decode(self, ids: Sequence[int]) -> bytes:
-        """The bytes of the ids: their characters joined, then each character taken back to its byte. Only then is there text again,
-        so a character split between tokens is whole."""
-        t = self.tools
-        return t.byte[np.frombuffer("".join(map(t.token.__getitem__, ids)).encode("utf-32-le"), np.uint32)].tobytes()
+        """The bytes of the ids, joined. Only then is there text again, so a character split between tokens is whole."""
+        return b"".join(map(self.tools.token.__getitem__, ids))
 
     def decode_text(self, ids: Sequence[int]) -> str:
         return self.decode(ids).decode("utf-8", "replace")
 
 
+def _characters(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of byte ranges of UTF-8: that of the first byte, and the one behind that of the last."""
+    if data.isascii():
+        return starts, stops
+    of_byte = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
+    return of_byte[starts], of_byte[stops - 1] + 1
+
+
 _BUILT: dict[str, tuple] = {}
 
 
