@@ -531,6 +531,29 @@ def test_rules(spark):
         assert len(got) == rows.count()
 
 
+def test_rules_are_fitted_on_all_labelled_rows(spark):
+    rng = np.random.default_rng(5)
+    pool = ["".join(rng.choice(list("abcdeXYZ!#"), rng.integers(1, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(pool[: 400 if i % 7 else 30 + i % 300], 60)) + " ?" * int(rng.integers(0, 9)) for i in range(5000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(5000)], "doc_id long, quality int")
+    fitted = rules_forest.fit_rules(docs, known)
+    counts, ratios = rules_forest.rule_statistics(texts)
+    ok = (counts[:, 0] >= 50) & (100 * counts[:, 4] <= 50 * counts[:, 0])
+    s, y = fitted.forest.score(ratios[ok]), (np.arange(5000) % 7 > 0)[ok]
+    floor = np.quantile(s[y], 0.99)
+    cuts = np.unique(np.concatenate([[floor], s[s >= floor]]))
+    gain = [(s[~y] > c).mean() - 4 * (s[y] > c).mean() for c in cuts]
+    assert y.sum() > 4000 and (~y).sum() > 300 and fitted.threshold == cuts[int(np.argmax(gain))]
+    again = rules_forest.fit_rules(docs.repartition(7).unionByName(docs), known)
+    assert again.threshold == fitted.threshold and (again.forest.cut == fitted.forest.cut).all()
+    drawn = rules_forest.draw_rows(docs.select(F.xxhash64("doc_id").alias("h"), F.encode(F.format_string("%072d", "doc_id"), "utf-8").alias("x")), 5000, size=20)
+    named = [{int(v.tobytes()) for v in d} for d in drawn]
+    assert all(len(d) == 20 for d in named) and 1500 < len(set().union(*named)) < 1800
+    one = rules_forest.fit_rules(docs.where("doc_id = 1"), known)
+    assert one.apply([texts[1]])["kept"].tolist() == [True]
+
+
 def test_forest_isolates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1000, 4))

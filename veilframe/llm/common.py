@@ -94,17 +94,19 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(fold_of(doc_id, modulus) == F.lit(remainder), F.lit(False))
 
 
-def labelled_ids(labels: DataFrame, label: str, *, modulus: int = 0, remainder: int = 0, per_class: int | tuple[int, int]) -> DataFrame:
+def labelled_ids(labels: DataFrame, label: str, *, modulus: int = 0, remainder: int = 0, per_class: int | tuple[int, int] | None) -> DataFrame:
     """At most per_class ids of each class (doc_id, y), lowest hash first; rows of the held-out fold never enter.
 
-    per_class may be two numbers, for y = 0 and for y = 1. Of an id with several labels the largest counts; null ids and null
+    per_class may be two numbers, for y = 0 and for y = 1, or None for all ids. Of an id with several labels the largest counts; null ids and null
     labels are left out.
     """
-    none, some = (per_class, per_class) if isinstance(per_class, int) else per_class
     rows = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     if modulus:
         rows = rows.where(fold_of(F.col("doc_id"), modulus) != F.lit(remainder))
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+    if per_class is None:
+        return rows
+    none, some = (per_class, per_class) if isinstance(per_class, int) else per_class
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     return rows.where("y = 1").orderBy(*order).limit(some).unionByName(rows.where("y = 0").orderBy(*order).limit(none))
 
